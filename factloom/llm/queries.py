@@ -5,18 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, packing, tokencount, toxicity
+from .common import crc_fold, table
 from .minhash import near_duplicates
 
+#: Production vocabulary of the token counts; a parameter of the operators.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece tokens of every document: doc_id, n_tokens."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
+
 
 def op2_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in windows of 2,048 tokens."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return packing.pack_documents(docs, VOCABULARY)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(*langid.sample(docs, crc_fold("doc_id", 3) != 1))
+    held = F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", held, "text"), model)
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The lexicon and weights learned from the training fold of the labels."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.fit(*toxicity.sample(docs, labels, crc_fold("doc_id", 5) != 0))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held = F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    scored = toxicity.score(docs.select("doc_id", held, "text"), toxicity_model(spark, docs, sf_dir))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_minhash_groups": op2_minhash_groups,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
