@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, tokencount, toxicity
+from . import decontaminate, langid, packing, secrets, sharding, tokencount, toxicity
 from .common import crc_fold, table
 from .minhash import near_duplicates
 
@@ -39,6 +39,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held, "text"), model)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secrets.findings(docs, secrets.fit(docs))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words hit in every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """The lexicon and weights learned from the training fold of the labels."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -53,12 +65,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards."""
+    return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_groups": op2_minhash_groups,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
