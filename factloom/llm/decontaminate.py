@@ -101,7 +101,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block:
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents that no window hits, with all their columns."""
-    rows = keyed(docs.withColumn("text", F.col("text").cast("string")))
+    """The documents that no window hits, with all their columns (whatever they are called)."""
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.col("text").cast("string").alias("text")))
     found = hits(rows, items.select("item_id", F.col("text").cast("string").alias("text")), Scratch(docs.sparkSession, "decontaminate"), width)
-    return rows.join(found.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*docs.columns)
+    return rows.join(found.select("k1", "k2"), ["k1", "k2"], "left_anti").select("doc.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, secrets, sharding, tokencount, toxicity
+from . import chat, decontaminate, langid, packing, secrets, sharding, tokencount, topk, toxicity
 from .common import crc_fold, table
 from .minhash import near_duplicates
 
@@ -45,6 +45,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(docs, secrets.fit(docs))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows of every query (vec_id divisible by 50)."""
+    return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words hit in every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -70,15 +75,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one whose texts hold control strings, read back from their windows."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(extra), VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_groups": op2_minhash_groups,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_chat_windows": op10_chat_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {}

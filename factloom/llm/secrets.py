@@ -146,8 +146,8 @@ def findings(docs: DataFrame, table: list[float], odds: float = ODDS) -> DataFra
 
 
 def redact(docs: DataFrame, table: list[float], mask: str = "[SECRET]", odds: float = ODDS) -> DataFrame:
-    """All columns of ``docs``, secrets in ``text`` replaced by ``mask`` (overlapping spans by one)."""
-    known = docs.withColumn("_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit("")))
+    """All columns of ``docs``, secrets in ``text`` replaced by ``mask`` (overlapping spans by one); n_chars follows."""
+    known = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     scanned = scan(known, table, odds)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -160,4 +160,7 @@ def redact(docs: DataFrame, table: list[float], mask: str = "[SECRET]", odds: fl
 
     done = F.aggregate("found", start, step)
     text = F.when(F.size("found") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text"))))
-    return scanned.withColumn("text", F.when(~F.col("_null"), text)).select(*docs.columns)
+    doc = F.col("doc").withField("text", F.when(F.col("doc.text").isNotNull(), F.col("clear")))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.when(F.size("found") > 0, F.length("clear").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars")))
+    return scanned.withColumn("clear", text).select(doc.alias("doc")).select("doc.*")

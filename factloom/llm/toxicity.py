@@ -319,3 +319,17 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "hel
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", score double"
     return slim.mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents that score under ``threshold``, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                yield part.filter(pa.array(held.value.score(part.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
