@@ -1,0 +1 @@
+"""factloom: evidence graphs of code and its executions as Spark DataFrames."""
