@@ -26,9 +26,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` once and return a reader of the written table."""
+    def few(self) -> int:
+        """Partitions for a table that is small beside the documents (an eighth of the shuffle's)."""
+        return max(16, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+    def write(self, df: DataFrame, name: str = "t", parts: int | None = None) -> DataFrame:
+        """Write ``df`` once, in at most ``parts`` files, and return a reader of the written table."""
         self._n += 1
+        df = df.coalesce(parts) if parts else df
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

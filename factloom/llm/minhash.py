@@ -14,8 +14,12 @@ group of copies costs one row a copy.  Other columns are never read.
 Recall.  ``BANDS`` x ``ROWS`` minima: a pair of similarity 0.75 shares no band with
 probability (1 - 0.75**4)**32 = 5e-6.  Pairs whose signatures agree in less than
 ``FLOOR`` of the lanes (over 5 standard deviations under 0.75) are not compared.
-Every remaining pair of a bucket that is not already in one component is confirmed
-on the full sets; there is no cap on buckets or partners.
+Each document is first confirmed against its nearest candidates, then against all
+candidates of other components.  Buckets that still hold several components are cut
+into chunks; chunks with strays meet all chunks of their bucket, and every pair of
+different components is decided there on the full sets.  A pair of chunks returns one
+link for two components at most, so a large group never becomes rows of all pairs,
+and there is no cap on buckets or partners.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .components import components
 
 BANDS, ROWS = 32, 4
 FLOOR = 0.55
+#: Documents of a chunk of a bucket.
+CHUNK = 64
 
 _rng = np.random.default_rng(75)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,16 +118,25 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same[keep])], names=["a", "b", "agree"])
 
 
+def _overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    return int((q[np.minimum(at, len(q) - 1)] == p).sum())
+
+
+def _members(value) -> np.ndarray:
+    return np.frombuffer(value, dtype=np.uint64)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                p, q = _members(x.as_buffer()), _members(y.as_buffer())
+                both = _overlap(p, q)
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(out.columns, names=["a", "b"])
@@ -129,6 +144,60 @@ def _linked(percent: int):
     return run
 
 
+class _Side:
+    """One column of chunks of a batch as flat arrays."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        docs = column.flatten()
+        self.ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+        self.ids, self.c = (docs.field(f).to_numpy(zero_copy_only=False) for f in ("id", "c"))
+        self.bands = docs.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        self.members = docs.field("members")
+
+    def set_of(self, i: int) -> np.ndarray:
+        return _members(self.members[i].as_buffer())
+
+
+def _chunk_links(percent: int):
+    """Links between the strays of one chunk and the documents of another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = _Side(batch.column("left")), _Side(batch.column("right"))
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            a, b = [], []
+            for i, key in enumerate(keys):
+                (lo, hi), (ro, rhi) = left.ends[i : i + 2], right.ends[i : i + 2]
+                x, y = left.bands[lo:hi], right.bands[ro:rhi]
+                shared = x[:, None, :] == y[None, :, :]
+                # a pair belongs to the first band that it shares
+                at = shared.argmax(axis=2)
+                mine = (x[np.arange(len(x))[:, None], at] == key) & (left.c[lo:hi, None] != right.c[None, ro:rhi])
+                rows, cols = np.nonzero(mine)
+                if not len(rows):
+                    continue
+                agree = (x.view(np.uint16)[rows] == y.view(np.uint16)[cols]).mean(axis=1)
+                joined: set[tuple[int, int]] = set()
+                for k in np.argsort(-agree, kind="stable"):
+                    if agree[k] < FLOOR:
+                        break
+                    one, two = lo + rows[k], ro + cols[k]
+                    c = (min(left.c[one], right.c[two]), max(left.c[one], right.c[two]))
+                    if c in joined:
+                        continue
+                    p, q = left.set_of(one), right.set_of(two)
+                    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                        continue
+                    both = _overlap(p, q)
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        joined.add(c)
+                        a.append(min(left.ids[one], right.ids[two]))
+                        b.append(max(left.ids[one], right.ids[two]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept (see the module's text)."""
     spark = docs.sparkSession
@@ -146,10 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         banded.groupBy("key")
         .agg(F.count("*").alias("members"), F.min_by("id", F.xxhash64("id", "key")).alias("pivot"), F.min_by("n", F.xxhash64("id", "key")).alias("pn"))
         .where("members > 1")
-        .select("key", "pivot", "pn"),
+        .select("key", "members", "pivot", "pn"),
         "buckets",
     )
-    member = scratch.write(banded.join(shared, "key").select("key", "id", "n", "pivot", "pn"), "members")
+    member = scratch.write(banded.join(shared, "key").select("key", "members", "id", "n", "pivot", "pn"), "members")
     signature = reps.select(F.col("id"), F.col("bands"))
 
     def agreeing(pairs: DataFrame) -> DataFrame:
@@ -170,40 +239,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.max_by(F.struct("a", "b"), F.struct("agree", "p")).alias("one"),  # its nearest
         F.max_by(F.struct("a", "b"), F.struct(F.col("agree") >= 0.8, -F.col("p"))).alias("other"),  # a near one that others share
     )
-    first = scratch.write(best.select(F.explode(F.array("one", "other")).alias("p")).select("p.a", "p.b").distinct(), "first")
+    first = scratch.write(best.select(F.explode(F.array("one", "other")).alias("p")).select("p.a", "p.b").distinct(), "first", scratch.few())
+
+    # the full sets of all documents that may be compared, from one pass over the texts
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(member.where("members > 2").select(F.col("id").alias("doc_id"))).distinct()
+    sets = scratch.write(slim.join(scratch.write(ids, "needed", scratch.few()), "doc_id").mapInArrow(_sets(width), "id long, members binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs of ``pairs`` that are linked, decided on the full sets of their documents."""
-        needed = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
-        sets = scratch.write(
-            slim.join(needed.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "id long, members binary"), "sets"
-        )
-        joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-        out = scratch.write(joined.select("a", "b", "ma", "mb").mapInArrow(_linked(percent), "a long, b long"), "links")
-        scratch.drop(needed, sets)
-        return out
-
-    links = confirmed(first)
-    classes = scratch.write(components(scratch, links), "classes")
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
+        both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+        return scratch.write(both.select("a", "b", "ma", "mb").mapInArrow(_linked(percent), "a long, b long"), "links")
 
     def labelled(side: DataFrame, column: str, name: str) -> DataFrame:
         found = side.join(classes.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left")
         return found.withColumn(name, F.coalesce(name, column))
 
-    # buckets that still hold several components: compare their strays with all other members
-    placed = scratch.write(labelled(labelled(member, "id", "c"), "pivot", "pc"), "placed")
-    stray = placed.where("c <> pc").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    rest = (
-        stray.join(placed.select("key", "id", "c", "n"), "key")
-        .where(f"cx <> c and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
-        .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = scratch.write(agreeing(rest).select("a", "b"), "rest")
-    if more.head(1):
-        links = links.unionByName(confirmed(more))
-        classes = scratch.write(components(scratch, links), "classes")
+    links = confirmed(first)
+    classes = scratch.write(components(scratch, links), "classes", scratch.few())
+    # then all other candidates that are not in one component yet
+    rest = scratch.write(labelled(labelled(near.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").join(first, ["a", "b"], "left_anti").select("a", "b"), "rest", scratch.few())
+    if rest.head(1):
+        links = links.unionByName(confirmed(rest))
+        classes = scratch.write(components(scratch, links), "classes", scratch.few())
+    # buckets that still hold several components: their strays meet all other members in chunks
+    placed = labelled(labelled(member.where("members > 2"), "id", "c"), "pivot", "pc")
+    chunk = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("members") / CHUNK)).alias("chunk")
+    placed = scratch.write(placed.select("key", "id", "c", chunk, (F.col("c") != F.col("pc")).alias("stray")), "placed")
+    open_ = placed.where("stray").select("key").distinct()
+    if open_.head(1):
+        whole = placed.join(scratch.write(open_, "open", scratch.few()), "key").join(sets, "id").join(signature, "id")
+        packed = F.collect_list(F.struct("id", "c", "bands", "members"))
+        whole = scratch.write(whole, "whole")
+        right = whole.groupBy("key", "chunk").agg(packed.alias("right")).drop("chunk")
+        left = whole.where("stray").groupBy("key", "chunk").agg(packed.alias("left")).drop("chunk")
+        more = scratch.write(left.join(right, "key").select("key", "left", "right").mapInArrow(_chunk_links(percent), "a long, b long"), "more")
+        scratch.drop(whole)
+        if more.head(1):
+            links = links.unionByName(more)
+            classes = scratch.write(components(scratch, links), "classes", scratch.few())
     # members of a set class share their representative's component
     named = scratch.write(
         reps.select("k1", "k2", "id").join(classes, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id")), "named"
@@ -211,3 +285,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     solo = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = usable.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id").unionByName(solo)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns."""
+    groups = Scratch(docs.sparkSession, "groups").write(near_duplicates(docs, width=width, percent=percent))
+    gone = groups.where("not kept").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.head(1):
+        single = out.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
+    return out
