@@ -9,7 +9,7 @@ identifiers, are trained from labelled samples: generated hexadecimal, base64 an
 upper-case strings against the words and identifiers outside base spans in a bounded
 sample of texts (``FIT_DOCS`` by the smallest id hash, each of at most ``FIT_CHARS``
 characters).  Their log-ratio is a table of character pairs.  Every run of
-``CANDIDATE`` characters that no base span touches is scored; if the likelihood ratio
+``CANDIDATE`` characters with a digit that no base span touches is scored; if the likelihood ratio
 is over ``e ** ODDS`` in favour of random, it becomes a span of kind ``markov``.  Base
 spans always stay.
 
@@ -28,9 +28,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}"
-FIT_DOCS, FIT_CHARS, FIT_STRINGS, ODDS = 1500, 20_000, 1500, 12.0
+FIT_DOCS, FIT_CHARS, FIT_STRINGS, ODDS, BACKING = 1500, 20_000, 1500, 12.0, 5.0
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -84,11 +84,14 @@ def _table(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
     letters = [c for c in map(chr, range(128)) if c.isalnum() or c in "+/_-"]
 
     def rows(counts: dict[str, int]) -> dict[str, float]:
+        """Log-probabilities of the second character, backed by how often it occurs at all."""
+        second = {b: 1 + sum(counts.get(a + b, 0) for a in letters) for b in letters}
+        total = sum(second.values())
         out = {}
         for a in letters:
             n = sum(counts.get(a + b, 0) for b in letters)
             for b in letters:
-                out[a + b] = math.log((counts.get(a + b, 0) + 0.1) / (n + 0.1 * len(letters)))
+                out[a + b] = math.log((counts.get(a + b, 0) + BACKING * second[b] / total) / (n + BACKING))
         return out
 
     r, o = rows(random), rows(ordinary)
