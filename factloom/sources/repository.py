@@ -102,7 +102,7 @@ class FileIndex(ast.NodeVisitor):
         self.rows: list[tuple[str, dict]] = []
         self.order = 0
 
-    def emit(self, kind: str, **record) -> None:
+    def emit(self, kind: str, /, **record) -> None:
         self.rows.append((kind, record))
 
     @property
