@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.stages import plain_unions
+
 SPAN = "struct<path:string,start_line:int,end_line:int,start_column:int,end_column:int,symbol:string>"
 TENSOR = "struct<shape:array<struct<size:bigint,symbol:string>>,dtype:string,device:string,layout:string,requires_grad:boolean,semantics:array<string>>"
 
@@ -67,6 +69,9 @@ class EvidenceGraph:
     coverage: DataFrame
     projects: DataFrame
 
+    def __post_init__(self) -> None:
+        plain_unions(self.nodes.sparkSession)
+
     @classmethod
     def of(cls, spark: SparkSession, **tables: DataFrame | list[dict]) -> EvidenceGraph:
         """A graph from the given tables (DataFrames or rows); the others are empty."""

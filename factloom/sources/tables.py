@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..plans.stages import plain_unions
 from ..schema import SCHEMAS, EvidenceGraph
 
 
@@ -40,7 +39,6 @@ def typed(df: DataFrame, name: str, given: dict) -> DataFrame:
 
 def bind(spark: SparkSession, sf_dir: str) -> EvidenceGraph:
     """The driver tables as one graph (lazy: each query reads the columns it needs)."""
-    plain_unions(spark)
     t = lambda name: read(spark, sf_dir, name)
     c = calls(spark, sf_dir)
 
