@@ -6,7 +6,7 @@ from collections import deque
 
 import pytest
 
-from factloom.operators import align, claims, compare, explore, flows, metrics, project, semantics, traverse, validate
+from factloom.operators import align, claims, compare, emit, explore, flows, metrics, project, semantics, traverse, validate
 from factloom.schema import EvidenceGraph
 from factloom.sources import configs, documents, repository, traces
 
@@ -235,6 +235,24 @@ def test_repository(spark, code):
     assert (best["path"], best["score"]) == ("train.py", 4 + 6 + 1 + 1)
 
 
+def test_static_graph(spark, code):
+    files = repository.scan(spark, code)
+    index = repository.index_repository(files)
+    index = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in index.items()}
+    entries = configs.config_entries(repository.scan(spark, code, "*.toml"))
+    g = emit.static_graph(index, entries)
+    validate.require_valid(g)
+    kinds = {r["kind"]: r["n"] for r in metrics.histogram(g.edges, "kind").withColumnRenamed("value", "kind").collect()}
+    assert kinds["calls"] >= 5 and kinds["data"] >= 4 and kinds["contains"] >= 10
+    assert {r["confidence"] for r in g.evidence.collect()} == {0.7, 0.9, 1.0}
+    assert emit.decode_state(emit.encode_state({"run": "a b", "open": ["x", "y"], "none": ""})) == {"run": ["a b"], "open": ["x", "y"]}
+    moved = emit.remap_sources(spark.createDataFrame([("/opt/lib/m.py",), ("/opt/lib/pkg/a.py",), ("b.py",)], "path string"), {"/opt/lib": "src", "/opt/lib/pkg": "own"})
+    assert ids(moved, "path") == ["b.py", "own/a.py", "src/m.py"]
+    captured = spark.createDataFrame([("c1", "enc.block", "x"), ("c2", "z.head", "Head"), ("c3", "q.tail", "y"), ("c4", "none", "w")], "id string, target string, label string")
+    definitions = spark.createDataFrame([("d1", "Enc", ["enc.block"], 0), ("d2", "Head", [], 1), ("d3", "tail", [], 2)], "id string, label string, aliases array<string>, ordinal int")
+    assert {r["id"]: r["definition_id"] for r in emit.match_structured(captured, definitions).collect()} == {"c1": "d1", "c2": "d2", "c3": "d3", "c4": None}
+
+
 def test_configs(spark, code):
     entries = configs.config_entries(repository.scan(spark, code, "*"))
     got = {(r["path"], r["key"]): json.loads(r["value_json"]) for r in entries.collect()}
