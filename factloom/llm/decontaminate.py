@@ -55,7 +55,7 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, width: int = WIDTH
         part = distinct.where(F.pmod("wid", F.lit(blocks)) == i)
         needed = part.select(F.explode("window").alias("w")).distinct()
         rarity = docs.select(F.explode(words_of(F.col("text"))).alias("w")).join(F.broadcast(needed), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
-        order = part.select("wid", "window", F.posexplode("window").alias("off", "w")).join(rarity, "w", "left")
+        order = part.select("wid", "window", F.posexplode("window").alias("off", "w")).join(F.broadcast(rarity), "w", "left")  # at most ``width`` words a window of the block
         prefix = scratch.write(
             order.groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("off"), F.col("w"))).alias("rare"), F.first("window").alias("window"))
             .where("rare.n > 0")  # a token that no document holds: no occurrence
