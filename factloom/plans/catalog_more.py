@@ -20,9 +20,9 @@ SELECT DISTINCT 'order:' || o_orderkey AS producer, 'event:' || event_id AS cons
 FROM orders JOIN e ON sym = 'customer:' || o_custkey AND formal = {_TYPES}[1 + o_custkey % 5] WHERE o_orderkey % 20 = 0 AND event_id % 3 = 0""")
 def argument_flow(spark, sf):
     """Orders as outer calls of customers, events as inner calls naming the customer's formal."""
-    orders = read(spark, sf, "orders").where("o_orderkey % 20 = 0")
+    orders = read(spark, sf, "orders")
     outer = orders.select(_id("order", "o_orderkey").alias("id"), F.lit(None).cast("string").alias("caller"), _id("customer", "o_custkey").alias("symbol_id"), F.array().cast("array<string>").alias("args"))
-    inner = read(spark, sf, "events").where("event_id % 3 = 0").select(_id("event", "event_id").alias("id"), _id("customer", "user_id").alias("caller"), F.lit(None).cast("string").alias("symbol_id"), F.array("event_type").alias("args"))
+    inner = read(spark, sf, "events").select(_id("event", "event_id").alias("id"), _id("customer", "user_id").alias("caller"), F.lit(None).cast("string").alias("symbol_id"), F.array("event_type").alias("args"))
     formal = F.get(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), (F.col("c_custkey") % 5).cast("int"))
     params = read(spark, sf, "customer").select(_id("customer", "c_custkey").alias("symbol"), F.lit(0).alias("pos"), formal.alias("formal"))
     bound = orders.select(_id("order", "o_orderkey").alias("call_id"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("formal"), F.col("o_orderpriority").alias("actual"))

@@ -19,3 +19,15 @@ def test_source_excerpt(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))
     want = [(f"doc:{i}", 0, k, line) for i, t in texts.items() for k, line in enumerate(t.split("\n"), 1) if 2 <= k <= 4]
     assert rows(catalog.QUERIES["source_excerpt"](spark, sf), "id", "n", "line", "text") == sorted(want)
+
+
+def test_argument_flow(spark, tmp_path):
+    types = ("click", "error", "purchase", "signup", "view")
+    orders = [(k, k % 3 + 1, f"p{k}") for k in range(1, 25)]
+    events = [(k, k % 4 + 1, types[k % 5]) for k in range(1, 25)]
+    sf = tables(
+        spark, tmp_path, customer=([(k,) for k in range(1, 5)], "c_custkey long"),
+        orders=(orders, "o_orderkey long, o_custkey long, o_orderpriority string"), events=(events, "event_id long, user_id long, event_type string"),
+    )
+    want = [(f"order:{o}", f"event:{e}", p) for o, c, p in orders for e, user, kind in events if user == c and kind == types[c % 5]]
+    assert len(want) > 20 and rows(catalog.QUERIES["argument_flow"](spark, sf), "producer", "consumer", "variable") == sorted(want)
