@@ -268,9 +268,9 @@ def top_members(spark, sf):
 g AS (SELECT c.id, arg_min('region:' || n_regionkey, depth) AS crumb FROM c JOIN nation ON 'nation:' || n_nationkey = c.ancestor GROUP BY c.id)
 SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS INT) AS position, crumb FROM (SELECT id, ancestor AS crumb, depth FROM c UNION ALL SELECT id, crumb, 1000000 FROM g) x""")
 def breadcrumbs(spark, sf):
-    """Group and ancestors of every fifth customer, top first."""
+    """Group and ancestors of every customer, top first."""
     g = bind(spark, sf)
-    return traverse.breadcrumbs(g.hierarchy(), g.membership(), g.nodes.where("id like 'customer:%' and cast(split(id, ':')[1] as int) % 5 = 0").select("id"))
+    return traverse.breadcrumbs(g.hierarchy(), g.membership(), g.nodes.where("id like 'customer:%'").select("id"))
 
 
 _REACH = """WITH_GRAPH, r(id, depth) AS (SELECT '{seed}', 0 UNION SELECT {to}, depth + 1 FROM r JOIN edge ON {frm} = r.id AND kind IN ('data', 'consumes', 'produces') WHERE depth < 8)

@@ -31,3 +31,17 @@ def test_argument_flow(spark, tmp_path):
     )
     want = [(f"order:{o}", f"event:{e}", p) for o, c, p in orders for e, user, kind in events if user == c and kind == types[c % 5]]
     assert len(want) > 20 and rows(catalog.QUERIES["argument_flow"](spark, sf), "producer", "consumer", "variable") == sorted(want)
+
+
+def test_breadcrumbs(spark, tmp_path):
+    none = {
+        "supplier": "s_suppkey long, s_name string, s_nationkey long", "part": "p_partkey long, p_name string, p_type string, p_brand string",
+        "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate date",
+        "lineitem": "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_shipdate date",
+    }
+    sf = tables(
+        spark, tmp_path, region=([(0, "R0"), (1, "R1")], "r_regionkey long, r_name string"), nation=([(k, f"N{k}", k % 2) for k in range(3)], "n_nationkey long, n_name string, n_regionkey long"),
+        customer=([(k, f"C{k}", k % 3, "M") for k in range(1, 12)], "c_custkey long, c_name string, c_nationkey long, c_mktsegment string"), **{t: ([], s) for t, s in none.items()},
+    )
+    want = [(f"customer:{k}", i, c) for k in range(1, 12) for i, c in enumerate((f"region:{k % 3 % 2}", f"nation:{k % 3}", f"customer:{k}"), 1)]
+    assert rows(catalog.QUERIES["breadcrumbs"](spark, sf), "id", "position", "crumb") == sorted(want)
