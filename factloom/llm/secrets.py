@@ -9,9 +9,9 @@ identifiers, are trained from labelled samples: generated hexadecimal, base64 an
 upper-case strings against the words and identifiers outside base spans in a bounded
 sample of texts (``FIT_DOCS`` by the smallest id hash, each of at most ``FIT_CHARS``
 characters).  Their log-ratio is a table of character pairs.  Every run of
-``CANDIDATE`` characters with a digit that no base span touches is scored; if the likelihood ratio
-is over ``e ** ODDS`` in favour of random, it becomes a span of kind ``markov``.  Base
-spans always stay.
+``CANDIDATE`` characters that no base span touches is scored, with or without digits; if the
+likelihood ratio is over ``e ** ODDS`` in favour of random, it becomes a span of kind
+``markov``.  Base spans always stay.
 
 Edge cases: null texts are empty; null ids are passed through; repeated rows are
 scanned separately; an empty table trains the ordinary model on nothing (uniform).
@@ -28,7 +28,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}"
 FIT_DOCS, FIT_CHARS, FIT_STRINGS, ODDS, BACKING = 1500, 20_000, 1500, 12.0, 5.0
 _SPANS = "array<struct<start:int,kind:int,end:int>>"

@@ -178,6 +178,18 @@ def test_secrets(spark):
     assert secrets.findings(docs.limit(0), secrets.fit(docs.limit(0))).count() == 0
 
 
+def test_secrets_without_digits(spark):
+    r = random.Random(3)
+    syllables = ["ing", "tion", "er", "the", "an", "re", "on", "st", "ea", "nd"]
+    word = lambda n: "".join(r.choice(syllables) for _ in range(n))
+    table = secrets.fit(frame(spark, [(i, " ".join(word(r.randint(2, 7)) for _ in range(80))) for i in range(60)]))
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n)) for n in (16, 20, 24, 32) for _ in range(10)]
+    docs = frame(spark, [(i, f"see {k} here") for i, k in enumerate(keys)] + [(100 + i, f"see {word(9)} here") for i in range(40)])
+    got = {x["doc_id"]: x["spans"] for x in secrets.findings(docs, table).collect()}
+    assert got == {i: f"markov:4:{4 + len(k)}" for i, k in enumerate(keys)} | {100 + i: "" for i in range(40)}
+    assert {x["text"] for x in secrets.redact(docs.where("doc_id < 100"), table).collect()} == {"see [SECRET] here"}
+
+
 def words7(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
 
