@@ -45,3 +45,14 @@ def test_breadcrumbs(spark, tmp_path):
     )
     want = [(f"customer:{k}", i, c) for k in range(1, 12) for i, c in enumerate((f"region:{k % 3 % 2}", f"nation:{k % 3}", f"customer:{k}"), 1)]
     assert rows(catalog.QUERIES["breadcrumbs"](spark, sf), "id", "position", "crumb") == sorted(want)
+
+
+def test_claim_check(spark, tmp_path):
+    documents = [(k, 100 * k) for k in range(1, 17)]
+    labels = [(k, k % 2) for k in range(1, 19)]  # 17 and 18 have no document
+    sf = tables(spark, tmp_path, documents=(documents, "doc_id long, n_chars long"), labels=(labels, "doc_id long, quality int"))
+    long = {k: n > 800 for k, n in documents}
+    status = {k: "unresolved" if k not in long else "supported" if long[k] == (q == 1) else "contradicted" for k, q in labels}
+    assert rows(catalog.QUERIES["claim_check"](spark, sf), "claim_id", "status") == sorted((f"claim:{k}", s) for k, s in status.items())
+    want = sorted((f"claim:{k}", f"impl:{k}") for k, s in status.items() if s == "contradicted")
+    assert len(want) == 8 and rows(catalog.QUERIES["conflicts"](spark, sf), "author_claim", "implementation_claim") == want
