@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_PIECE = 1 << 19  # bytes hashed at once; cut only at separators
+#: Spans over this many bytes are hashed and compared one at a time.
+LONG = 4096
 
 
 def fmix(x: np.ndarray) -> np.ndarray:
@@ -20,21 +22,6 @@ def fmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, dtype=np.uint64)
-
-
-def _pow(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        base = np.full(max(n, 4096), _BASE, dtype=np.uint64)
-        base[0] = U64(1)
-        _powers = np.multiply.accumulate(base)
-    return _powers
-
-
 def byte_table(word_bytes) -> np.ndarray:
     """Boolean table of the bytes that belong to words."""
     out = np.zeros(256, dtype=bool)
@@ -83,33 +70,52 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NON_SPACE)
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprint of each span's bytes; bounded memory for any length of text."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PIECE, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        power = _pow(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * _inverse(hi - lo + 1)[s] + (e - s).astype(np.uint64) * U64(0xD6E8FEB86659FD93)
-        i = j
-    return fmix(out)
-
-
-_inverses = np.ones(1, dtype=np.uint64)
-_INV = U64(pow(int(_BASE), -1, 2**64))
-
-
-def _inverse(n: int) -> np.ndarray:
-    global _inverses
-    if len(_inverses) < n:
-        base = np.full(max(n, 4096), _INV, dtype=np.uint64)
-        base[0] = U64(1)
-        _inverses = np.multiply.accumulate(base)
-    return _inverses
+    """64-bit fingerprint of each span's bytes: a chain of mixed blocks of eight bytes.
+
+    Equal spans have equal fingerprints.  Spans of one length up to eight bytes never
+    share one (every step is a bijection of the block); spans over ``LONG`` bytes are
+    hashed by blake2b, one at a time.
+    """
+    length = ends - starts
+    out = fmix(length.astype(np.uint64) + U64(0x9E3779B97F4A7C15))
+    blocks = _blocks(data)
+    live, at = np.flatnonzero((length > 0) & (length <= LONG)), 0
+    while len(live):
+        block = blocks[starts[live] + at] & _MASKS[np.minimum(length[live] - at, 8)]
+        out[live] = fmix((out[live] ^ block) * U64(0x9E3779B97F4A7C15) + U64(0xD6E8FEB86659FD93))
+        at += 8
+        live = live[length[live] > at]
+    for i in np.flatnonzero(length > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each span holds the same bytes as the span number ``others`` of the same arrays."""
+    length = ends - starts
+    same = length == length[others]
+    blocks = _blocks(data)
+    live, at = np.flatnonzero(same & (others != np.arange(len(starts))) & (length <= LONG)), 0
+    while len(live):
+        mask = _MASKS[np.minimum(length[live] - at, 8)]
+        equal = (blocks[starts[live] + at] ^ blocks[starts[others[live]] + at]) & mask == 0
+        same[live[~equal]] = False
+        at += 8
+        live = live[equal & (length[live] > at)]
+    for i in np.flatnonzero(same & (length > LONG)):
+        j = others[i]
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[j] : ends[j]])
+    return same
 
 
 def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

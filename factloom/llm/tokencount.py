@@ -8,11 +8,14 @@ its number of pieces without building any.  A word that cannot be split counts a
 unknown token.  Words are the runs of bytes outside 0x20 and 0x09-0x0D.
 
 All words of a block run through the automaton together, one byte position a step;
-each distinct word of a block is matched once.  The vocabulary is checked against
-``MAX_PIECES`` before it is sent to the executors.
+each distinct word of a block is matched once (equal fingerprints are settled by the
+words' bytes).  What is broadcast is the vocabulary, a file that the caller chooses and
+that does not grow with the data.  The file is read on the driver: through Spark's
+readers where the path names a scheme, else as a local file.
 
 Edge cases: null, empty and blank texts have 0 tokens; a null id is passed through;
-repeated rows are counted separately; other columns are never read.
+repeated rows are counted separately; an empty table gives no rows; other columns are
+never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,14 +26,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 
-#: Largest vocabulary that is broadcast (a state and a few links for each byte of it).
-MAX_PIECES = 1_000_000
-
 
 def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     """Initial and continuation pieces of a rank file (base64 piece, space, rank a line).
@@ -38,14 +38,18 @@ def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     Pieces that start with a space are initial, those without white space continue a
     word; single bytes are both, so every word can be split.
     """
+    if "://" in path:
+        lines = [r["value"] for r in SparkSession.active().read.text(path).collect()]
+    else:
+        with open(path, encoding="ascii") as file:
+            lines = file.readlines()
     initial, later = set(), set()
-    with open(path, "rb") as lines:
-        for line in lines:
-            piece = base64.b64decode(line.split()[0])
-            if piece.startswith(b" ") and len(piece) > 1 and b" " not in piece[1:]:
-                initial.add(piece[1:])
-            elif piece and not piece.strip(b" \t\n\r\x0b\x0c") != piece:
-                later.add(piece)
+    for line in filter(str.strip, lines):
+        piece = base64.b64decode(line.split()[0])
+        if piece.startswith(b" ") and len(piece) > 1 and b" " not in piece[1:]:
+            initial.add(piece[1:])
+        elif piece and not piece.strip(b" \t\n\r\x0b\x0c") != piece:
+            later.add(piece)
     single = {bytes([b]) for b in range(256)}
     return initial | single, later | single
 
@@ -57,8 +61,6 @@ class Automaton:
 
     def __init__(self, initial: Iterable[bytes], later: Iterable[bytes]) -> None:
         initial, later = set(initial), set(later)
-        if len(initial) + len(later) > 2 * MAX_PIECES:
-            raise ValueError(f"more than {MAX_PIECES} pieces")
         children: list[dict[int, int]] = [{}, {}]
         whole = [False, False]
         for root, pieces in ((self.ROOT, initial), (self.REST, later)):
@@ -145,6 +147,10 @@ def count_tokens(automaton: Automaton, column: pa.Array) -> np.ndarray:
             continue
         _, first, back = np.unique(tk.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
         pieces = automaton.count(data, starts[first], ends[first])[back]
+        # words that only share a fingerprint are counted by themselves
+        odd = np.flatnonzero(~tk.same_spans(data, starts, ends, first[back]))
+        if len(odd):
+            pieces[odd] = automaton.count(data, starts[odd], ends[odd])
         running = np.concatenate([[0], np.cumsum(pieces)])
         cut = np.searchsorted(starts, offsets)
         out[lo:hi] = running[cut[1:]] - running[cut[:-1]]
