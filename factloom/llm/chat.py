@@ -6,26 +6,34 @@ backslash is doubled and a backslash is put after the first character of every
 control string (``CONTROLS``), so no control string of a text survives and every turn
 can be read back exactly.
 
-Windows.  Turns come by turn number.  The running sum of turn tokens (word pieces)
-chooses the spans: a window takes turns while they fit ``budget`` tokens.  Later
-windows begin with the system turn (the first turn, if its role is ``system``) and
-the latest turns of at most ``history`` tokens, both marked as repeated.  A turn
-longer than the budget gets a window of its own; nothing is cut.  The loss mask holds
-the text of each assistant turn where it first occurs, never of repeated turns.
+Windows.  Turns come by turn number.  The running sum of turn tokens chooses the spans:
+a window takes turns while they fit ``budget`` tokens.  A turn's tokens are the word
+pieces of all that is written for it, marks and escapes included; as a turn ends with a
+newline, the tokens of a window are the sum of its turns'.  Later windows begin with the
+system turn (the first turn, if its role is ``system``) and the latest turns of at most
+``history`` tokens, both marked as repeated, as far as the budget allows beside the new
+turn (the system turn first).  Nothing is cut: a turn longer than the budget gets a
+window of its own, and only such a window is over the budget.  The loss mask holds the
+text of each assistant turn where it first occurs, never of repeated turns.
 
 Conversations are sorted within partitions and read as a stream: a window, the system
-turn and the history are all that is held, however long a conversation is.
+turn and the history (at most ``history`` tokens, of which each turn has some) are all
+that is held, however long a conversation is.  The spans depend on all turns before
+them, so one conversation is one task's stream.
 
 Edge cases: null roles and texts are empty; rows without an id form one conversation;
-equal turn numbers are ordered by role and text; null turns come first; an empty
-table gives no windows.
+equal turn numbers are ordered by role and text; null turns come first; empty texts are
+turns like others; an empty table gives no windows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +45,7 @@ BUDGET, HISTORY = 1024, 256
 #: Control strings of this template and of common ones; none survives in a text.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
+END = "<|end|>\n"
 _TURN = re.compile(r"<\|(turn|again)\|>(.*?)\n(.*?)<\|end\|>\n", re.DOTALL)
 _BACK = re.compile(r"\\(.)", re.DOTALL)
 FORMATTED = "conv_id long, window int, text string, n_tokens long, loss_start array<int>, loss_end array<int>"
@@ -52,57 +61,87 @@ def unescape(text: str) -> str:
     return _BACK.sub(lambda m: "\n" if m[1] == "N" else m[1], text)
 
 
+def heading(role: str, again: bool) -> str:
+    """The first line of a turn."""
+    return f"<|{'again' if again else 'turn'}|>{escape(role).replace(chr(10), chr(92) + 'N')}\n"
+
+
+@dataclass
+class Turn:
+    """One turn: its escaped body and its tokens when new and when repeated."""
+
+    role: str
+    body: str
+    tokens: int
+    again: int
+
+
 class Window:
     """One window under construction."""
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.size = self.tokens = self.fresh = 0
+        self.size = self.tokens = 0
         self.starts: list[int] = []
         self.ends: list[int] = []
 
-    def add(self, role: str, text: str, tokens: int, again: bool) -> None:
-        head = f"<|{'again' if again else 'turn'}|>{escape(role).replace(chr(10), chr(92) + 'N')}\n"
-        body = escape(text)
-        if role == "assistant" and not again:
+    def add(self, turn: Turn, again: bool) -> None:
+        head = heading(turn.role, again)
+        if turn.role == "assistant" and not again:
             self.starts.append(self.size + len(head))
-            self.ends.append(self.size + len(head) + len(body))
-        self.parts += [head, body, "<|end|>\n"]
-        self.size += len(head) + len(body) + len("<|end|>\n")
-        self.tokens += tokens
-        self.fresh += not again
-
-
-def windows(turns, budget: int = BUDGET, history: int = HISTORY) -> Iterator[Window]:
-    """Windows of one conversation's turns (role, text, tokens), as a stream."""
-    system, recent, now = None, [], Window()
-    for i, (role, text, tokens) in enumerate(turns):
-        if i == 0 and role == "system":
-            system = (role, text, tokens)
-        elif recent and now.fresh and now.tokens + tokens > budget:
+            self.ends.append(self.size + len(head) + len(turn.body))
+        self.parts += [head, turn.body, END]
+        self.size += len(head) + len(turn.body) + len(END)
+        self.tokens += turn.again if again else turn.tokens
+
+
+def windows(turns: Iterable[Turn], budget: int = BUDGET, history: int = HISTORY) -> Iterator[Window]:
+    """Windows of one conversation's turns, as a stream."""
+    system, recent, held, now = None, deque(), 0, Window()
+    for i, turn in enumerate(turns):
+        if now.parts and now.tokens + turn.tokens > budget:
             yield now
-            now = Window()
-            room = budget - tokens
-            if system and system[2] <= room:
-                now.add(*system, again=True)
-                room -= system[2]
-            kept, left = [], min(room, history)
+            now, room = Window(), budget - turn.tokens
+            if system and system.again <= room:
+                now.add(system, again=True)
+                room -= system.again
+            room, kept = min(room, history), 0
             for old in reversed(recent):
-                if old[2] > left:
+                if old.again > room:
                     break
-                kept.append(old)
-                left -= old[2]
-            for old in reversed(kept):
-                now.add(*old, again=True)
-        now.add(role, text, tokens, again=False)
-        if system is None or i:
-            recent.append((role, text, tokens))
-            while len(recent) > 1 and sum(t for _, _, t in recent[1:]) >= history:
-                recent.pop(0)
+                room -= old.again
+                kept += 1
+            for old in islice(recent, len(recent) - kept, None):
+                now.add(old, again=True)
+        now.add(turn, again=False)
+        if i == 0 and turn.role == "system":
+            system = turn
+            continue
+        recent.append(turn)
+        held += turn.again
+        while held > history:
+            held -= recent.popleft().again
     if now.parts:
         yield now
 
 
+def measured(automaton: Automaton, rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, turn) of record batches (key, role, text), with the tokens of all that is written for a turn."""
+    heads: dict[str, list[int]] = {}
+    for batch in rows:
+        for lo in range(0, batch.num_rows, 1024):
+            keys, roles, texts = (batch.column(c).slice(lo, 1024).to_pylist() for c in range(3))
+            bodies = [escape(t) for t in texts]
+            for role in set(roles) - heads.keys():
+                if len(heads) > 10_000:
+                    heads.clear()
+                heads[role] = count_tokens(automaton, pa.array([heading(role, False), heading(role, True)])).tolist()
+            counts = count_tokens(automaton, pa.array([b + END for b in bodies], pa.large_string())).tolist()
+            for key, role, body, n in zip(keys, roles, bodies, counts, strict=True):
+                new, again = heads.get(role) or count_tokens(automaton, pa.array([heading(role, False), heading(role, True)])).tolist()
+                yield key, Turn(role, body, new + n, again + n)
+
+
 def read_back(formatted) -> tuple[int, str, int, str, int]:
     """(turns, their sha256, loss characters, their sha256, formatted characters) of a stream of (text, starts, ends)."""
     turns, all_turns, loss, all_loss, size = 0, hashlib.sha256(), 0, hashlib.sha256(), 0
@@ -165,15 +204,9 @@ def format_conversations(rows: DataFrame, vocabulary: str, budget: int = BUDGET,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def turns():
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    part = batch.slice(lo, 1024)
-                    yield from zip(*(part.column(c).to_pylist() for c in range(3)), count_tokens(held.value, part.column(2)).tolist(), strict=True)
-
         def made():
-            for key, stream in _runs(turns()):
-                for i, w in enumerate(windows((row[1:] for row in stream), budget, history)):
+            for key, stream in _runs(measured(held.value, batches)):
+                for i, w in enumerate(windows((row[1] for row in stream), budget, history)):
                     yield key, i, "".join(w.parts), w.tokens, w.starts, w.ends
 
         yield from _batched(made(), schema)
