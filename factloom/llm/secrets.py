@@ -13,8 +13,13 @@ characters).  Their log-ratio is a table of character pairs.  Every run of
 likelihood ratio is over ``e ** ODDS`` in favour of random, it becomes a span of kind
 ``markov``.  Base spans always stay.
 
+Cost: a text is read a fixed number of times; offsets are running sums in blocks of the
+root of their number (``_running``), and a candidate is folded over once, so neither a
+very long run nor very many spans cost the square of their size.
+
 Edge cases: null texts are empty; null ids are passed through; repeated rows are
-scanned separately; an empty table trains the ordinary model on nothing (uniform).
+scanned separately; an empty table trains the ordinary model on nothing (uniform) and
+gives no rows; other columns, whatever they are called, are never read (``redact`` returns them).
 """
 
 from __future__ import annotations
@@ -31,21 +36,45 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}"
 FIT_DOCS, FIT_CHARS, FIT_STRINGS, ODDS, BACKING = 1500, 20_000, 1500, 12.0, 5.0
+#: Code points of one segment of a text that is redacted.
+SEGMENT = 4096
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, zero: int, combine) -> Column:
+    """For each of the integers, all before it combined (``zero`` for the first)."""
+    fold = lambda xs: F.aggregate(xs, F.lit(zero), combine)
+
+    def over(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs).cast("double")))).cast("int")
+        starts = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(xs)), w), lambda i: i <= F.size(xs))
+        return _let(_let(width, lambda w: F.transform(starts(w), lambda i: F.slice(xs, i, w))), inside)
+
+    def inside(blocks: Column) -> Column:
+        def block(totals: Column):
+            return lambda x, i: _let(fold(F.slice(totals, F.lit(1), i)), lambda base: F.transform(x, lambda v, j: combine(base, fold(F.slice(x, F.lit(1), j)))))
+
+        return _let(F.transform(blocks, fold), lambda totals: F.flatten(F.transform(blocks, block(totals))))
+
+    return _let(values, over)
+
+
 def _located(found: Column, pieces: Column, good, kind: int) -> Column:
     """Spans of the matches whose place is given by the pieces between them."""
     zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    sizes = F.transform(zipped, lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.length(x["hit"]["hit"]).alias("own"), x["hit"].alias("hit")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["piece"])
-        end = at + F.length(x["hit"]["hit"])
-        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good(x["hit"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def spans(rows: Column) -> Column:
+        before = _running(F.transform(rows, lambda x: x["gap"] + x["own"]), 0, lambda a, b: a + b)
+        placed = F.zip_with(rows, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["own"]).alias("end"), x["hit"].alias("hit")))
+        return F.transform(F.filter(placed, lambda x: good(x["hit"])), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(_SPANS))
+    return F.when(F.size(found) > 0, _let(sizes, spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _pairs(*columns: Column) -> Column:
@@ -122,15 +151,30 @@ def scan(docs: DataFrame, table: list[float], odds: float = ODDS) -> DataFrame:
     ratios = F.expr("cast(split('" + ",".join(f"{v:g}" for v in table) + "', ',') as array<double>)")
 
     def ratio(word: Column) -> Column:
-        code = lambda at: F.ascii(F.substring(word, at, F.lit(1)))
-        return F.aggregate(
-            F.sequence(F.lit(2), F.length(word)), F.lit(0.0), lambda acc, i: acc + F.get(ratios, code(i - 1) * 128 + code(i))
-        )
+        start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+        def step(acc: Column, c: Column) -> Column:
+            more = F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.get(ratios, acc["last"] * 128 + F.ascii(c)))
+            return F.struct(F.ascii(c).alias("last"), (acc["sum"] + more).alias("sum"))
+
+        return F.aggregate(F.split(word, ""), start, step)["sum"]
 
     marked = _located(_pairs(F.col("_c").alias("hit")), F.split("text", CANDIDATE), lambda hit: ratio(hit["hit"]) > odds, 3)
     spotted = spotted.withColumn("_m", marked)
-    apart = F.filter("_m", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return spotted.withColumn("found", F.array_sort(F.concat("base", apart))).drop("_c", "_m")
+    # a candidate is apart from base spans if none before it reaches into it and none after it starts in it
+    ends = lambda rows: F.transform(rows, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(F.lit(0)))
+    starts = lambda rows: F.transform(rows, lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(F.lit(2**31 - 1)))
+
+    def apart(rows: Column) -> Column:
+        before = _running(ends(rows), 0, lambda a, b: F.greatest(a, b))
+        after = F.reverse(_running(F.reverse(starts(rows)), 2**31 - 1, lambda a, b: F.least(a, b)))
+        zipped = F.arrays_zip(rows.alias("span"), before.alias("before"), after.alias("after"))
+        kept = F.filter(zipped, lambda x: (x["span"]["kind"] < 3) | ((x["before"] <= x["span"]["start"]) & (x["after"] >= x["span"]["end"])))
+        return F.transform(kept, lambda x: x["span"])
+
+    all_ = F.array_sort(F.concat("base", "_m"))
+    found = F.when(F.size("_m") == 0, F.col("base")).when(F.size("base") == 0, F.col("_m")).otherwise(_let(all_, apart))
+    return spotted.withColumn("found", found).drop("_c", "_m")
 
 
 def _joined(spans: str) -> Column:
@@ -152,17 +196,26 @@ def redact(docs: DataFrame, table: list[float], mask: str = "[SECRET]", odds: fl
     """All columns of ``docs``, secrets in ``text`` replaced by ``mask`` (overlapping spans by one); n_chars follows."""
     known = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     scanned = scan(known, table, odds)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"]).alias("out")
-        )
+    def cut(segments: Column):
+        """The text from one place to another, from the segments that it touches."""
+
+        def gap(at: Column, to: Column) -> Column:
+            part = lambda k: F.substring(F.get(segments, k), F.greatest(at - k * SEGMENT, F.lit(0)) + 1, F.least(to - k * SEGMENT, F.lit(SEGMENT)) - F.greatest(at - k * SEGMENT, F.lit(0)))
+            touched = F.sequence(F.floor(at / SEGMENT).cast("int"), F.floor((to - 1) / SEGMENT).cast("int"))
+            return F.when(to > at, F.array_join(F.transform(touched, part), "")).otherwise("")
+
+        return gap
+
+    def masked(segments: Column) -> Column:
+        gap = cut(segments)
+        reached = _running(F.transform("found", lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b))
+        fresh = F.filter(F.arrays_zip(F.col("found").alias("span"), reached.alias("at")), lambda x: x["span"]["start"] >= x["at"])
+        last = gap(F.array_max(F.transform("found", lambda s: s["end"])), F.length("text"))
+        return F.array_join(F.concat(F.transform(fresh, lambda x: gap(x["at"], x["span"]["start"])), F.array(last)), mask)
 
-    done = F.aggregate("found", start, step)
-    text = F.when(F.size("found") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text"))))
+    whole = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SEGMENT}}}"), 0)
+    text = F.when(F.size("found") == 0, F.col("text")).otherwise(_let(whole, masked))
     doc = F.col("doc").withField("text", F.when(F.col("doc.text").isNotNull(), F.col("clear")))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.when(F.size("found") > 0, F.length("clear").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars")))
