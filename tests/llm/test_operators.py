@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import chat, decontaminate, langid, minhash, packing, secrets, sharding, tokencount, topk, toxicity
@@ -74,8 +75,9 @@ def test_near_duplicates(spark):
 
 
 def test_near_duplicates_strays(spark, monkeypatch):
-    """A drifting chain keeps several components in one bucket; chunks must still join it."""
-    monkeypatch.setattr(minhash, "CHUNK", 8)
+    """A drifting chain keeps several components in one bucket; packs must still join it."""
+    for name, small in (("PACK", 8), ("SET_DOCS", 8), ("SLICE", 100)):
+        monkeypatch.setattr(minhash, name, small)
     r = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
     now, rows = [r.choice(words) for _ in range(120)], []
@@ -294,6 +296,8 @@ def test_chat(spark):
             role = "system" if t == 0 and c in (0, 2) else r.choice(["user", "assistant", "ro\nle\\", None])
             rows.append((c, t, role, r.choice([None, "".join(r.choice(bits) for _ in range(r.randint(0, 200)))]), 5))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int")
+    automaton = tokencount.Automaton(*tokencount.read_vocabulary(VOCABULARY))
+    tokens = lambda text: int(tokencount.count_tokens(automaton, pa.array([text]))[0])
     formatted = chat.format_conversations(df, VOCABULARY, budget=150, history=40)
     got = {x["conv_id"]: x for x in chat.digests(formatted).collect()}
     for c in {x[0] for x in rows}:
@@ -306,10 +310,47 @@ def test_chat(spark):
     for w in formatted.collect():
         inner = re.sub(r"<\|(turn|again|end)\|>", "", w["text"])
         assert not any(s in inner for s in chat.CONTROLS)
-        assert w["n_tokens"] <= 150 or w["text"].count("<|turn|>") <= 2
+        assert w["n_tokens"] == tokens(w["text"])
+        assert w["n_tokens"] <= 150 or w["text"].count("<|turn|>") + w["text"].count("<|again|>") == 1
     assert chat.digests(chat.format_conversations(df.limit(0), VOCABULARY)).count() == 0
 
 
+def spans_by_hand(sizes, system, budget, history):
+    """The turns of each window, repeated ones as negative numbers; sizes are (new, again)."""
+    out, now, used = [], [], 0
+    for i, (new, _) in enumerate(sizes):
+        if now and used + new > budget:
+            out.append(now)
+            now, used = [], 0
+            if system and sizes[0][1] <= budget - new:
+                now, used = [-0.5], sizes[0][1]
+            room, back = min(history, budget - new - used), []
+            for j in range(i - 1, 0 if system else -1, -1):
+                if sizes[j][1] > room:
+                    break
+                room -= sizes[j][1]
+                back.insert(0, -j - 1)
+            used += sum(sizes[-j - 1][1] for j in back)
+            now += back
+        now.append(i)
+        used += new
+    return out + [now] if now else out
+
+
+def test_chat_windows_by_hand():
+    r = random.Random(12)
+    for k in range(300):
+        system, budget, history = k % 2 == 0, r.choice([60, 100]), r.choice([0, 20, 60])
+        sizes = [(n, n + r.randint(0, 2)) for n in (r.choice([4, 9, 30, 70, 130]) for _ in range(r.randint(1, 30)))]
+        turns = [chat.Turn("system" if system and i == 0 else "user", str(i), *n) for i, n in enumerate(sizes)]
+        got = []
+        for w in chat.windows(iter(turns), budget, history):
+            assert w.tokens <= budget or len(w.parts) == 3
+            seen = [(h.startswith("<|again"), int(b)) for h, b in zip(w.parts[::3], w.parts[1::3])]
+            got.append([(-0.5 if system and b == 0 else -b - 1) if again else b for again, b in seen])
+        assert got == spans_by_hand(sizes, system, budget, history)
+
+
 def test_escape_round_trip():
     r = random.Random(9)
     for _ in range(500):
@@ -339,24 +380,148 @@ def test_toxicity(spark):
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    """Edit distance with swapped neighbours (each letter edited once)."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
-def test_levenshtein_automaton():
+@pytest.mark.parametrize("max_states", [100_000, 40])
+def test_levenshtein_automaton(max_states):
     r = random.Random(8)
-    terms = [("abcab", False), ("bcabca", False), ("cc", False), ("acb", True)]
-    m = toxicity.build(terms)
-    for _ in range(3000):
-        w = "".join(r.choice("abcd") for _ in range(r.randint(1, 8)))
+    terms = [("abcab", False), ("bcabca", False), ("cc", False), ("acb", True), ("\u4e2d\u6587\u5b57", False)]
+    parts = toxicity.build_all(terms, max_states)
+    assert (len(parts) > 1) == (max_states == 40)
+    for k in range(3000):
+        w = "".join(r.choice("abcd" if k % 10 else "ab\u4e2d\u6587\u5b57") for _ in range(r.randint(1, 8))) if k else "\u4e2d\u6587\u5b57"
         p = toxicity.points(w)
-        final = int(toxicity.match(m, p, np.array([0]), np.array([len(w)]))[0])
+        final = int(toxicity.nearest(parts, p, np.array([0]), np.array([len(w)]))[0])
         exact = [t for t, (x, stem) in enumerate(terms) if w == x or (stem and w.startswith(x))]
-        near = [t for t, (x, stem) in enumerate(terms) if not stem and len(x) >= 5 and w[0] == x[0] and edits(w, x) <= 1]
+        near = [t for t, (x, stem) in enumerate(terms) if not stem and len(x) >= toxicity.FUZZY_FROM and edits(w, x) <= 1]
         assert (final > 0) == bool(exact or near), w
         if exact:
             assert (final - 1) % 2 == 0 and (final - 1) // 2 in exact
+        elif near:
+            assert (final - 1) % 2 == 1 and (final - 1) // 2 in near
+
+
+def test_toxicity_sample_and_quotes(spark):
+    r = random.Random(16)
+    words = ["".join(r.choice("abdegilnorstu") for _ in range(r.randint(3, 8))) for _ in range(500)]
+    rows = []
+    for i in range(600):
+        w = [r.choice(words) for _ in range(r.randint(5, 30))]
+        if i % 3 == 0:
+            w.insert(r.randrange(1, len(w)), "blockhead")
+        if i % 60 == 1:
+            w[1:1] = ["dijo", "blockhead"]
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    model = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    assert "dijo" in model.cues
+    plain, quoted = model.score(["a b blockhead c", "a dijo blockhead c"])
+    assert plain >= 0.5 > quoted
+    docs = frame(spark, [(i, t) for i, t, _ in rows] + [(None, "x"), (3, None)])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    texts_, got = toxicity.sample(docs, labels, F.col("doc_id") % 2 == 0, rows=30, clean=50)
+    assert Counter(got)[1] <= 30 and Counter(got)[0] <= 50 and set(texts_) <= {t for i, t, _ in rows if i % 2 == 0}
+    assert toxicity.sample(docs, labels.limit(0), F.lit(True)) == ([], [])
+    long = model.score([("nothing " * 200_000) + "blockhead"])
+    assert long[0] >= 0.5
+    assert toxicity.score(docs.limit(0).withColumn("held_out", F.lit(True)), model).count() == 0
+
+
+def brute_language(train, languages, texts, ridge):
+    """Kernel ridge on all training texts as landmarks, with the kernel computed pair by pair."""
+    def grams(t):
+        t = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    known = set().union(*map(grams, train))
+    sets = [grams(t) & known for t in train]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    names = sorted(set(languages))
+    answer = np.array([[float(x == n) for n in names] for x in languages])
+    # ridge over Nystroem features of all texts is kernel ridge
+    alpha = np.linalg.solve(k + ridge * len(train) * np.eye(len(train)), answer)
+    out = np.array([[kernel(grams(t) & known, b) for b in sets] for t in texts]) @ alpha
+    return [names[i] for i in out.argmax(axis=1)], out.max(axis=1)
+
+
+@pytest.mark.parametrize("flat", [1 << 22, 1])
+def test_language_is_kernel_ridge(flat, monkeypatch):
+    monkeypatch.setattr(langid, "FLAT", flat)
+    r = random.Random(15)
+    make = {"aa": "abcdefg", "bb": "cdefghij", "cc": "\u0433\u0434\u0435\u0436", "dd": "\u4e2d\u6587\u5b57\u6c49"}
+    line = lambda l: " ".join("".join(r.choice(make[l]) for _ in range(r.randint(1, 5))) for _ in range(r.randint(3, 20)))
+    languages = [r.choice(list(make)) for _ in range(60)]
+    train = [line(l) for l in languages]
+    tests = [line(l) for l in languages] + ["abc, def; 12 cd!"]
+    model = langid.fit(train, languages, landmarks=60, ridge=1e-2)
+    names, scores = model.predict(tests)
+    want, margins = brute_language(train, languages, tests, 1e-2)
+    assert names == want and np.allclose(scores, np.clip(margins, 0, 1), atol=1e-4)
+    monkeypatch.setattr(langid, "CHARS", 7)
+    again, same = model.predict(tests)
+    assert again == names and np.allclose(scores, same)
+
+
+def test_words_of_equal_polynomial_hashes():
+    """Thue-Morse words collide under any polynomial hash modulo 2^64; they must stay apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    automaton = tokencount.Automaton(*tokencount.read_vocabulary(VOCABULARY))
+    both = tokencount.count_tokens(automaton, pa.array([a, b, a + " " + b, "x" * 9000 + " " + "x" * 9000]))
+    alone = [int(tokencount.count_tokens(automaton, pa.array([t]))[0]) for t in (a, b, "x" * 9000)]
+    assert both.tolist() == [alone[0], alone[1], alone[0] + alone[1], 2 * alone[2]]
+
+
+def test_token_counts_frame(spark):
+    rows = list(enumerate(texts())) + [(None, "a b"), (0, texts()[0])]
+    docs = spark.createDataFrame([(i, t, 1, "n") for i, t in rows], "doc_id long, text string, n_tokens long, __text string")
+    got = tokencount.token_counts(docs, VOCABULARY).collect()
+    automaton = tokencount.Automaton(*tokencount.read_vocabulary(VOCABULARY))
+    want = [(i, int(tokencount.count_tokens(automaton, pa.array([t], pa.string()))[0])) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert tokencount.token_counts(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_secret_models_on_held_out_strings(spark):
+    """Precision and recall on labelled strings that the models were not trained on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    table = secrets.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 0"))
+    r = random.Random(31)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    random_ = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (20, 24, 32, 40) for _ in range(50)]
+    words = [w for x in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 1").limit(60).collect() for w in re.findall("[a-z]{3,}", (x["text"] or "").lower())]
+    join = [lambda ws: "_".join(ws), lambda ws: "-".join(ws), lambda ws: "".join(w.title() for w in ws)]
+    plain = []
+    while len(plain) < 600:
+        w = join[len(plain) % 3](r.choices(words, k=r.randint(3, 5)))
+        if len(w) >= 16:
+            plain.append(w)
+    rows = [(i, f"see {w} here") for i, w in enumerate(random_ + plain)]
+    found = {x["doc_id"] for x in secrets.findings(frame(spark, rows), table).collect() if x["spans"]}
+    recall = sum(i in found for i in range(len(random_))) / len(random_)
+    false = sum(i in found for i in range(len(random_), len(rows)))
+    precision = len(found) and (len(found) - false) / len(found)
+    print("secrets held out: recall", recall, "precision", precision)
+    assert recall > 0.9 and precision > 0.97
+
+
+def test_secrets_very_long(spark):
+    r = random.Random(2)
+    run = "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(300_000))
+    many = " ".join(f"token=abcdef{i:07d}" for i in range(3000))
+    docs = frame(spark, [(0, run), (1, many), (2, many + " " + run)])
+    table = secrets.fit(frame(spark, [(0, "plain words and other things " * 50)]))
+    got = {x["doc_id"]: x for x in secrets.findings(docs, table).collect()}
+    assert got[0]["spans"] == "markov:0:300000" and got[1]["n_assign"] == 3000
+    clear = {x["doc_id"]: x["text"] for x in secrets.redact(docs, table).collect()}
+    assert clear[0] == "[SECRET]" and clear[1] == " ".join(["[SECRET]"] * 3000) and clear[2] == " ".join(["[SECRET]"] * 3001)
