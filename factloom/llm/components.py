@@ -28,8 +28,8 @@ def _star(scratch: Scratch, edges: DataFrame, large: bool, parts: int) -> DataFr
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    result = scratch.write(out.where("u <> v").distinct(), "star", parts)
-    scratch.drop(least, *([both] if large else []))
+    result = scratch.write(out.where("u <> v").distinct(), "large" if large else "small", parts)
+    scratch.drop("min", "sym")
     return result
 
 
@@ -53,9 +53,9 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     parts = max(8, -(-now.count() // PART_EDGES))
     while _unsettled(now):
         large = _star(scratch, now, True, parts)
-        small = _star(scratch, large, False, parts)
-        scratch.drop(now, large)
-        now = small
+        scratch.drop("small", "edges")
+        now = _star(scratch, large, False, parts)
+        scratch.drop("large")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
