@@ -109,6 +109,31 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_hot_ids_clusters_and_groups(spark):
+    """Null and repeated ids, one hot cluster, long texts: groups stay small and every group is best fit."""
+    r = random.Random(14)
+    lines = [" ".join("word" for _ in range(r.choice([0, 3, 17, 40, 64, 100, 700]))) for _ in range(300)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t, f"s{i % 2}" if i % 7 else None, i % 5 if i % 4 == 0 else None) for i, t in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, component_id long")
+    out = [x.asDict() for x in packing.pack_documents(docs, VOCABULARY, capacity=64, per_source=3, group_rows=40, cluster="component_id").collect()]
+    counts = Counter()
+    for x in tokencount.token_counts(docs, VOCABULARY).collect():
+        counts[x["doc_id"]] += x["n_tokens"]
+    total, bins = Counter(), defaultdict(list)
+    for x in out:
+        total[x["doc_id"]] += x["length"]
+        assert 0 <= x["length"] <= 64 and x["start"] == 64 * x["piece"] and (x["bin"] is None) == (x["length"] == 0)
+        if x["length"]:
+            bins[x["bin"]].append(x)
+    assert total == counts
+    groups = Counter(x["bin"] >> packing._BIN_BITS for x in out if x["bin"] is not None and x["bin"] >= 0)
+    assert len(groups) > 4 and max(groups.values()) < 80
+    for b, some in bins.items():
+        some.sort(key=lambda x: x["bin_offset"])
+        assert [x["bin_offset"] for x in some] == [sum(y["length"] for y in some[:k]) for k in range(len(some))] and sum(x["length"] for x in some) <= 64
+        assert b >= 0 or (len(some) == 1 and some[0]["length"] == 64)
+
+
 def test_pack_group_is_best_fit():
     r = random.Random(1)
     n, capacity, limit = 400, 100, 2
