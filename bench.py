@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from factloom.plans import catalog, catalog_more  # noqa: F401 - registers its queries
+from factloom.plans import catalog, catalog_graph, catalog_more  # noqa: F401 - registers its queries
 
 HEADLINE = (
     "paper_projection", "visible_in_run", "occurrences_of_definition", "coverage_status", "violations_dangling", "search_ranked", "expand_children", "breadcrumbs",

@@ -64,6 +64,7 @@ ROLE_PATTERNS = (
     ("tokenizer", r"\btokenizer\b|分词器|标记器"),
     ("policy", r"\bpolicy(?:[\s_-]*(?:network|model))?\b|策略网络"),
 )
+# Words that say whether weights change, and negations around a component.
 FROZEN = r"\b(?:frozen|freeze|freezes|fixed[\s_-]*weights?)\b|冻结|固定参数"
 TRAINABLE = r"\b(?:trainable|unfrozen|unfreeze|fine[\s_-]*tun(?:e|ed|ing)?)\b|可训练|微调"
 NEGATED_BEFORE = r"(?:without|no|does\s+not\s+use|doesn't\s+use|do\s+not\s+use|not\s+using|不使用|没有|无)\s*(?:an?\s+|the\s+)?$"

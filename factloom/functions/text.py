@@ -134,3 +134,28 @@ def module_name(path: Column) -> Column:
 def version_matches(found: Column, expected: Column) -> Column:
     """Equal, apart from a local ``+`` suffix."""
     return F.split_part(found, F.lit("+"), F.lit(1)) == expected
+
+
+def attribute_parts(attributes_json: Column) -> Column:
+    """Entries of a JSON object as structs (key, kind, text, items), by key.
+
+    ``kind`` is scalar (text, number or truth value: ``text``), list (its scalar items:
+    ``items``) or other; numbers keep their JSON form.
+    """
+    entries = F.array_sort(F.map_entries(F.from_json(attributes_json, "map<string,variant>")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    plain = lambda v: ~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & ~F.startswith(F.schema_of_variant(v), F.lit("ARRAY")) & (F.schema_of_variant(v) != "VOID")
+    listed = lambda v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+    items = lambda v: F.transform(F.filter(v.try_cast("array<variant>"), plain), lambda x: x.try_cast("string"))
+
+    def one(e: Column) -> Column:
+        v = e["value"]
+        kind = F.when(plain(v), "scalar").when(listed(v), "list").otherwise("other")
+        return F.struct(e["key"].alias("key"), kind.alias("kind"), F.when(plain(v), v.try_cast("string")).alias("text"), F.when(listed(v), items(v)).alias("items"))
+
+    return F.transform(entries, one)
+
+
+def shape_text(shape: Column) -> Column:
+    """A tensor shape as its list form, such as ``[1, 'b', 3]`` (empty for none)."""
+    sizes = F.transform(shape, lambda d: F.coalesce(d["size"].cast("string"), F.concat(F.lit("'"), d["symbol"], F.lit("'"))))
+    return F.when(F.size(shape) > 0, F.concat(F.lit("["), F.array_join(sizes, ", "), F.lit("]"))).otherwise("")

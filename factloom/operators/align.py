@@ -22,6 +22,19 @@ def payload(df: DataFrame) -> DataFrame:
     return df.select("id", F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("payload"))
 
 
+def merge_projects(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The two projects (one row or none each) as one: left values first, both metadata side by side."""
+    names = ("name", "root", "repository_url", "revision")
+    # one row each; an empty text counts as none
+    blank = left.sparkSession.range(1).select(F.lit(1).alias("_"))
+    side = lambda df, tag: blank.join(df.limit(1).select(F.lit(1).alias("_"), *[F.nullif(F.col(c), F.lit("")).alias(f"{tag}{c}") for c in names], F.col("metadata_json").alias(f"{tag}m")), "_", "left")
+    both = side(left, "l").join(side(right, "r"), "_")
+    metadata = F.to_json(F.struct(F.try_parse_json("lm").alias("static"), F.try_parse_json("rm").alias("runtime")))
+    merged = both.select(*[F.coalesce(f"l{c}", f"r{c}").alias(c) for c in names], metadata.alias("metadata_json"))
+    there = left.limit(1).unionByName(right.limit(1)).limit(1).select(F.lit(1).alias("_"))
+    return merged.join(there, F.lit(True), "left_semi")
+
+
 def merge(left: EvidenceGraph, right: EvidenceGraph) -> EvidenceGraph:
     """Union by id; raises if projects differ or one id has two payloads."""
     a, b = left.projects.first(), right.projects.first()
@@ -37,7 +50,7 @@ def merge(left: EvidenceGraph, right: EvidenceGraph) -> EvidenceGraph:
         if bad:
             raise ValueError(f"{name}: different payloads for {[x['id'] for x in bad]}")
         out[name] = l.unionByName(r.join(l.select("id"), "id", "left_anti").select(*l.columns))
-    merged = EvidenceGraph(projects=left.projects if a else right.projects, **out)
+    merged = EvidenceGraph(projects=merge_projects(left.projects, right.projects), **out)
     twice = merged.ids().groupBy("id").count().where("count > 1").limit(3).collect()
     if twice:
         raise ValueError(f"one id in several collections: {[x['id'] for x in twice]}")
@@ -45,16 +58,22 @@ def merge(left: EvidenceGraph, right: EvidenceGraph) -> EvidenceGraph:
 
 
 def spans_of(nodes: DataFrame) -> DataFrame:
-    """(id, label, role, path, base, start_line, end_line, symbol): one row a source span, paths normal."""
+    """(id, label, role, path, start_line, end_line, symbol): one row a source span, paths normal."""
     flat = nodes.select("id", "label", "role", F.explode("source").alias("s"))
     path = tx.normal_path(F.col("s.path"))
-    return flat.select("id", "label", "role", path.alias("path"), tx.basename(path).alias("base"), "s.start_line", "s.end_line", "s.symbol")
+    # a span without an end is one line
+    end = F.coalesce(F.nullif(F.col("s.end_line"), F.lit(0)), "s.start_line").alias("end_line")
+    return flat.select("id", "label", "role", path.alias("path"), "s.start_line", end, "s.symbol")
 
 
 def match_scores(runtime: DataFrame, static: DataFrame) -> DataFrame:
-    """(rt, st, score) of span pairs whose paths match at the suffix; equal base names prune the pairs."""
-    r = runtime.select(F.col("id").alias("rt"), F.col("path").alias("rp"), "base", F.col("start_line").alias("rs"), F.col("end_line").alias("re"), F.col("symbol").alias("rsym"))
-    s = static.select(F.col("id").alias("st"), F.col("path").alias("sp"), "base", F.col("start_line").alias("ss"), F.col("end_line").alias("se"), F.col("symbol").alias("ssym"), "label", "role")
+    """(rt, st, score) of span pairs of which one path is the other or its end at a slash.
+
+    Every path meets the other side's paths by equality with each of its own ends, so a
+    common base name (such as an initialiser of every package) is no key by itself.
+    """
+    r = runtime.select(F.col("id").alias("rt"), F.col("path").alias("rp"), F.col("start_line").alias("rs"), F.col("end_line").alias("re"), F.col("symbol").alias("rsym"))
+    s = static.select(F.col("id").alias("st"), F.col("path").alias("sp"), F.col("start_line").alias("ss"), F.col("end_line").alias("se"), F.col("symbol").alias("ssym"), "label", "role")
     near = F.when(F.col("rs") == F.col("ss"), 5).when((F.col("rs") <= F.col("se")) & (F.col("ss") <= F.col("re")), 2).otherwise(0)
     score = (
         F.lit(4) + near
@@ -62,7 +81,10 @@ def match_scores(runtime: DataFrame, static: DataFrame) -> DataFrame:
         + F.when(F.col("role") == "python_method_definition", 1).otherwise(0)
         + F.when(tx.tail(F.col("rsym")) == tx.tail(F.col("ssym")), 2).otherwise(0)
     )
-    pairs = r.join(s, "base").where(tx.same_path(F.col("rp"), F.col("sp")))
+    ends = lambda path: F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda i: F.array_join(F.slice(F.split(path, "/"), i, F.size(F.split(path, "/"))), "/"))
+    longer = r.withColumn("end", F.explode(ends(F.col("rp")))).join(s, F.col("end") == F.col("sp")).drop("end")
+    shorter = s.withColumn("end", F.explode(ends(F.col("sp")))).where("end <> sp").join(r, F.col("end") == F.col("rp")).drop("end").select(*longer.columns)
+    pairs = longer.unionByName(shorter)
     return pairs.groupBy("rt", "st").agg(F.max(score).alias("score"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..schema import SPAN, EvidenceGraph
+from ..schema import DOMAINS, SPAN, EvidenceGraph
 from ..sources.tables import typed
 from . import flows
 
@@ -125,11 +125,18 @@ def static_metrics(calls: DataFrame, symbols: DataFrame, graph: EvidenceGraph) -
     return rows.withColumn("resolved_share", tx.ratio(F.col("n_local") + F.col("n_external"), F.col("n_calls")))
 
 
-def encode_state(state: dict[str, str | list[str]]) -> str:
-    """Explorer state as a URL query, keys in order, empty values left out."""
-    return urlencode([(k, v) for k in sorted(state) for v in (state[k] if isinstance(state[k], list) else [state[k]]) if v])
+#: Fixed names of the state's fields in a URL, in their order; only ``expanded`` repeats.
+STATE_FIELDS = (("view", "view"), ("selected_key", "selected"), ("run_id", "run"), ("expanded_keys", "expanded"), ("search", "q"))
 
 
-def decode_state(text: str) -> dict[str, list[str]]:
-    """Inverse of ``encode_state``; every value is a list."""
-    return parse_qs(text.lstrip("?"))
+def encode_state(state: dict[str, str | list[str] | None]) -> str:
+    """Explorer state as a URL query; empty values are left out, the view is always there."""
+    filled = {"view": "paper"} | {k: v for k, v in state.items() if v}
+    return urlencode([(short, v) for name, short in STATE_FIELDS if name in filled for v in (filled[name] if isinstance(filled[name], list) else [filled[name]])])
+
+
+def decode_state(text: str) -> dict[str, str | list[str] | None]:
+    """Inverse of ``encode_state``; unknown views are the paper view, other fields are ignored."""
+    found = parse_qs(text.removeprefix("?"))
+    out = {name: found.get(short, []) if name == "expanded_keys" else next(iter(found.get(short, [])), None) for name, short in STATE_FIELDS}
+    return out | {"view": out["view"] if out["view"] in DOMAINS["level"] else "paper"}

@@ -16,13 +16,12 @@ def visible_in_run(nodes: DataFrame, run_id: str | None) -> DataFrame:
 
 
 def search_text(nodes: DataFrame) -> DataFrame:
-    """Adds ``haystack``: id, label, kind, role, paths, symbols, tensor texts and scalar attributes, lowered."""
-    attributes = F.from_json("attributes_json", "map<string,string>")
-    scalars = F.map_values(F.map_filter(attributes, lambda _, v: ~F.startswith(v, F.lit("{")) & ~F.startswith(v, F.lit("["))))
+    """Adds ``haystack``: id, label, kind, role, paths, symbols, tensor texts and shape, keys and values of scalar attributes, lowered."""
+    scalars = F.transform(F.filter(tx.attribute_parts(F.col("attributes_json")), lambda a: a["kind"] == "scalar"), lambda a: F.concat_ws(" ", a["key"], a["text"]))
     parts = [
         F.col("id"), F.col("label"), F.col("kind"), F.col("role"),
         F.array_join(F.transform("source", lambda s: s["path"]), " "), F.array_join(F.transform("source", lambda s: s["symbol"]), " "),
-        F.col("tensor.dtype"), F.col("tensor.device"), F.array_join("tensor.semantics", " "), F.array_join(scalars, " "),
+        F.col("tensor.dtype"), F.col("tensor.device"), F.array_join("tensor.semantics", " "), tx.shape_text(F.col("tensor.shape")), F.array_join(scalars, " "),
     ]
     return nodes.withColumn("haystack", F.lower(F.concat_ws(" ", *parts)))
 
@@ -85,7 +84,9 @@ def collapse_repeats(children: DataFrame, least: int = 3) -> DataFrame:
 
     ``children`` has (parent, child, label, definition_id, definition_label).
     """
-    counted = children.withColumn("n", F.count("*").over(Window.partitionBy("parent", "definition_id")))
+    # a count and a join: a parent with very many children without a definition is no window's group
+    counts = children.where("definition_id is not null").groupBy("parent", "definition_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    counted = children.join(counts, ["parent", "definition_id"], "left")
     many = F.col("definition_id").isNotNull() & (F.col("n") >= least)
     row = F.when(many, F.concat(F.lit("repeat:"), "parent", F.lit(":definition:"), "definition_id")).otherwise(F.col("child"))
     label = F.when(many, F.concat("definition_label", F.lit(" ×"), F.col("n").cast("string"))).otherwise(F.col("label"))
@@ -106,9 +107,11 @@ def excerpts(spans: DataFrame, files: DataFrame, context: int = 3, max_excerpts:
     if context < 0 or max_excerpts < 0:
         raise ValueError("context and max_excerpts must not be negative")
     inside = spans.where(F.col("n") < max_excerpts).where(~F.startswith("path", F.lit("/")) & ~F.contains(F.concat(F.lit("/"), "path", F.lit("/")), F.lit("/../")))
-    lines = inside.join(files, "path").select("id", "n", "start_line", "end_line", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    line = F.col("at") + 1
-    return lines.where((line >= F.col("start_line") - context) & (line <= F.col("end_line") + context)).select("id", "n", line.alias("line"), "text")
+    first = F.greatest(F.lit(1), F.col("start_line") - context)
+    # only the lines asked for are exploded, not whole files
+    wanted = F.slice(F.split("text", "\n"), first, F.greatest(F.lit(0), F.col("end_line") + context - first + 1))
+    lines = inside.join(files, "path").select("id", "n", first.alias("first"), F.posexplode(wanted).alias("at", "text"))
+    return lines.select("id", "n", (F.col("first") + F.col("at")).alias("line"), "text")
 
 
 def inspect(graph: EvidenceGraph, node_id: str) -> dict[str, DataFrame]:

@@ -17,24 +17,24 @@ from ..functions import text as tx
 from ..plans.stages import Stages
 
 
-def inherited(bases: DataFrame, methods: DataFrame, max_depth: int = 50) -> DataFrame:
+def inherited(bases: DataFrame, methods: DataFrame) -> DataFrame:
     """(cls, method, owner): the class that defines each method, searched depth-first through bases in order.
 
-    A class of the search path is never visited twice; paths are compared as strings
-    of fixed-width base positions, whose order is the depth-first order.
+    A class is reached from another first along the least path, paths being strings of
+    fixed-width base positions.  Only that path is kept and carried on when it gets
+    smaller, so diamonds cost no more than their edges, and cycles end by themselves (a
+    longer way round is a larger string).
     """
     stages = Stages(bases.sparkSession, "bases")
-    step = bases.select("cls", "base", F.lpad(F.col("ord").cast("string"), 4, "0").alias("o"))
+    step = bases.select(F.col("cls").alias("at"), "base", F.lpad(F.col("ord").cast("string"), 4, "0").alias("o"))
     starts = methods.select("cls").unionByName(bases.select("cls")).unionByName(bases.select(F.col("base").alias("cls"))).distinct()
-    front = stages.write(starts.select("cls", F.col("cls").alias("at"), F.lit("").alias("path"), F.array("cls").alias("seen")))
-    every = front
-    for _ in range(max_depth):
-        nxt = front.join(step.withColumnRenamed("cls", "at"), "at").where(~F.array_contains("seen", F.col("base")))
-        front = stages.write(nxt.select("cls", F.col("base").alias("at"), F.concat("path", "o").alias("path"), F.array_append("seen", F.col("base")).alias("seen")))
-        if not front.head(1):
-            break
-        every = every.unionByName(front)
-    owned = every.join(methods.select(F.col("cls").alias("at"), "method"), "at")
+    best = front = stages.write(starts.select("cls", F.col("cls").alias("at"), F.lit("").alias("path")))
+    while front.head(1):
+        found = front.join(step, "at").groupBy("cls", F.col("base").alias("at")).agg(F.min(F.concat("path", "o")).alias("path"))
+        before = best.select("cls", "at", F.col("path").alias("old"))
+        front = stages.write(found.join(before, ["cls", "at"], "left").where("old is null or path < old").select("cls", "at", "path"))
+        best = stages.write(best.unionByName(front).groupBy("cls", "at").agg(F.min("path").alias("path")))
+    owned = best.join(methods.select(F.col("cls").alias("at"), "method"), "at")
     return owned.groupBy("cls", "method").agg(F.min_by("at", "path").alias("owner"))
 
 
@@ -102,9 +102,11 @@ def return_flow(resolved: DataFrame, returns: DataFrame) -> DataFrame:
     """
     inner = resolved.select(F.col("id").alias("producer"), F.col("caller").alias("symbol"), "line", "col", "ord", "targets")
     outer = resolved.where("symbol_id is not null").select(F.col("id").alias("consumer"), F.col("symbol_id").alias("symbol"))
-    names = returns.where("name is not null").select("symbol", "name", F.col("line").alias("at"))
-    latest = inner.select("producer", "symbol", "line", "col", "ord", F.explode("targets").alias("name")).join(names, ["symbol", "name"]).where("line <= at")
-    latest = latest.groupBy("symbol", "name", "at").agg(F.max_by("producer", F.struct("line", "col", "ord")).alias("producer"))
+    # definitions and returns of a name in one window: the latest definition up to the return
+    names = returns.where("name is not null").select("symbol", "name", F.col("line").alias("at"), F.lit(None).cast("string").alias("d"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("o"))
+    made = inner.select("symbol", F.explode("targets").alias("name"), F.col("line").alias("at"), F.col("producer").alias("d"), F.col("col").cast("long").alias("c"), F.col("ord").cast("long").alias("o"))
+    order = Window.partitionBy("symbol", "name").orderBy("at", F.col("d").isNull(), "c", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = made.unionByName(names).withColumn("producer", F.last("d", ignorenulls=True).over(order)).where("d is null and producer is not null")
     exact = inner.join(returns.where("name is null").select("symbol", "line", "col"), ["symbol", "line", "col"]).groupBy("symbol", "line", "col").agg(F.min_by("producer", "ord").alias("producer"))
     both = latest.select("symbol", "producer", F.col("name").alias("variable")).unionByName(exact.select("symbol", "producer", F.lit("<return>").alias("variable")))
     return both.join(outer, "symbol").select("producer", "consumer", "variable").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..functions.rules import MODALITIES, PRIMARY_MODALITIES, ROLES
 from ..schema import PROPAGATION_KINDS, SCHEMAS, EvidenceGraph
+from ..plans.stages import Stages
 from . import traverse
 
 #: Fixed confidences of the rules.
@@ -16,11 +17,14 @@ STRUCTURAL, KEYWORD, GENERIC, FUSION, MEETING = 0.99, 0.88, 0.58, 0.91, 0.82
 
 
 def node_text(nodes: DataFrame) -> DataFrame:
-    """(id, level, kind, text, tensor_text) of nodes, normalised for keyword rules."""
-    attributes = F.from_json("attributes_json", "map<string,string>")
-    values = F.transform(F.array_sort(F.map_keys(attributes)), lambda k: F.when(~F.startswith(F.element_at(attributes, k), F.lit("{")), F.translate(F.element_at(attributes, k), '[]",', "    ")))
-    sources = F.array_join(F.transform("source", lambda s: F.concat_ws(" ", s["path"], s["symbol"])), " ")
-    text = F.concat_ws(" ", "id", "label", "role", "kind", sources, F.array_join(values, " "))
+    """(id, level, kind, text, tensor_text) of nodes, normalised for keyword rules.
+
+    The text holds label, role, source paths, symbols and, by key, the attributes: keys and
+    values of scalars, scalar items of lists.  Neither the id nor the kind belongs to it.
+    """
+    values = F.transform(tx.attribute_parts(F.col("attributes_json")), lambda a: F.when(a["kind"] == "scalar", F.concat_ws(" ", a["key"], a["text"])).when(a["kind"] == "list", F.array_join(a["items"], " ")))
+    each = lambda name: F.array_join(F.transform("source", lambda s: s[name]), " ")
+    text = F.concat_ws(" ", "label", "role", each("path"), each("symbol"), F.array_join(values, " "))
     return nodes.select("id", "level", "kind", tx.normal_text(text).alias("text"), tx.normal_text(F.array_join("tensor.semantics", " ")).alias("tensor_text"))
 
 
@@ -56,7 +60,8 @@ def modality_seeds(texts: DataFrame) -> DataFrame:
 
 def hypotheses(graph: EvidenceGraph) -> DataFrame:
     """(id, role, priority, confidence, reasons, rank): all hypotheses of each mechanical node, best first."""
-    texts = node_text(graph.mechanical())
+    stages = Stages(graph.nodes.sparkSession, "hypotheses")
+    texts = stages.write(node_text(graph.mechanical()))
     structural = texts.where(F.col("kind").isin("loss", "dataset", "environment")).select(
         "id", F.col("kind").alias("role"), F.lit(STRUCTURAL).alias("confidence"), F.concat(F.lit("node kind: "), "kind").alias("reason")
     )
@@ -106,11 +111,12 @@ def recover(graph: EvidenceGraph, overrides: list[dict] | None = None, min_confi
     for o in overrides or []:
         if not o["member_ids"] or set(o["member_ids"]) - known:
             raise ValueError("an override needs known members")
-    found = hypotheses(graph)
+    stages = Stages(spark, "recover")
+    found = stages.write(hypotheses(graph))  # read three times below
     taken = spark.createDataFrame([(m,) for o in overrides or [] for m in o["member_ids"]], "id string")
     top = found.where("rank = 1").join(taken, "id", "left_anti")
     anchors = traverse.nearest_of_level(graph.hierarchy(), mechanical)
-    winners = anchor_winners(top, anchors, min_confidence)
+    winners = stages.write(anchor_winners(top, anchors, min_confidence))
     numbered = winners.withColumn("n", F.row_number().over(Window.orderBy("anchor")) - 1).withColumn("group_id", tx.sequence_id("semantic.group", F.col("n")))
     contains = graph.edges.where("kind = 'contains'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
     members = anchor_members(contains, winners.select(F.col("anchor").alias("id"))).join(mechanical.select(F.col("id").alias("member")), "member", "left_semi")

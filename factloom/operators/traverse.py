@@ -1,8 +1,10 @@
 """Iterative graph operators as frontier joins.
 
 Every operator takes edges (src, dst) and keeps its state in tables written between
-rounds (``Stages``); the driver sees one count a round.  The visited set is joined
-anti, so cycles end; a round costs a join of the frontier, not of the whole graph.
+rounds (``Stages``); the driver sees one count a round.  The edges are dealt by their
+source once, so a round moves the frontier and not the graph.  The visited set is joined
+anti, so cycles end; it is written anew as one table every ``COMPACT`` rounds.  Rounds go
+on until nothing is new: a depth is a limit only where the caller gives one.
 """
 
 from __future__ import annotations
@@ -14,24 +16,37 @@ from pyspark.sql.window import Window
 from ..plans.stages import Stages
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000, keep_origin: bool = False) -> DataFrame:
+#: Rounds between two compactions of the visited set.
+COMPACT = 8
+
+
+def _spread(stages: Stages, edges: DataFrame, front: DataFrame, key: list[str], max_depth: int | None, depth: bool) -> DataFrame:
+    """Everything that the frontier (``key``, with ``id``) leads to, by rounds."""
+    edges = stages.laid_out(edges.select("src", "dst").distinct(), "src")
+    carried = [c for c in key if c != "id"]
+    seen, parts, n = front, 1, 0
+    while (max_depth is None or n < max_depth) and front.head(1):
+        n += 1
+        step = edges.join(front.select(*carried, F.col("id").alias("src")), "src").select(*carried, F.col("dst").alias("id")).distinct()
+        fresh = step.join(seen, key, "left_anti")
+        front = stages.write(fresh.withColumn("depth", F.lit(n)) if depth else fresh)
+        seen, parts = seen.unionByName(front), parts + 1
+        if parts > COMPACT:
+            seen, parts = stages.write(seen), 1
+    edges.unpersist()
+    return seen
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, keep_origin: bool = False) -> DataFrame:
     """(id, depth), with ``origin`` too if kept: everything reachable from seeds (id) and its least depth."""
     stages = Stages(edges.sparkSession, "reach")
     key = ["origin", "id"] if keep_origin else ["id"]
     start = seeds.select("id").distinct()
     front = start.select(F.col("id").alias("origin"), "id") if keep_origin else start
-    edges = stages.write(edges.select("src", "dst").distinct())
-    seen = front = stages.write(front.withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
-        step = front.join(edges, front["id"] == edges["src"]).select(*([front["origin"]] if keep_origin else []), F.col("dst").alias("id")).distinct()
-        front = stages.write(step.join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.head(1):
-            break
-        seen = seen.unionByName(front)
-    return seen
+    return _spread(stages, edges, stages.write(front.withColumn("depth", F.lit(0))), key, max_depth, True)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(origin, id, depth) for every seed."""
     return reach(edges, seeds, max_depth, keep_origin=True)
 
@@ -83,23 +98,22 @@ def bounded_lineage(flow: DataFrame, origins: DataFrame, max_depth: int = 32, ma
     return seen, edges, truncated
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 1000) -> list[str]:
+def shortest_path(edges: DataFrame, source: str, target: str) -> list[str]:
     """Ids of one shortest path (fewest edges, then smallest ids backwards); empty if there is none."""
     stages = Stages(edges.sparkSession, "path")
-    edges = stages.write(edges.select("src", "dst").distinct())
+    edges = stages.laid_out(edges.select("src", "dst").distinct(), "src")
     seen = front = stages.write(edges.sparkSession.createDataFrame([(source, None)], "id string, parent string"))
     levels = [front]
-    found = source == target
-    for _ in range(max_depth):
-        if found:
-            break
-        step = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    found, parts = source == target, 1
+    while not found and front.head(1):
+        step = edges.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         front = stages.write(step.join(seen.select("id"), "id", "left_anti"))
-        if not front.head(1):
-            return []
         levels.append(front)
-        seen = seen.unionByName(front)
+        seen, parts = seen.unionByName(front), parts + 1
+        if parts > COMPACT:
+            seen, parts = stages.write(seen), 1
         found = bool(front.where(F.col("id") == target).head(1))
+    edges.unpersist()
     if not found:
         return []
     path = [target]
@@ -108,21 +122,43 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 1
     return path[::-1]
 
 
-def label_fixpoint(edges: DataFrame, labels: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(id, label): seed labels (id, label) carried along edges until nothing changes (semi-naive)."""
+def label_fixpoint(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label): seed labels (id, label) carried along edges until nothing changes.
+
+    Labels are a small fixed domain.  A node with one incoming edge has its own labels and
+    its predecessor's, so runs of such nodes are jumped over by doubling (a chain of n
+    nodes takes log n rounds); what is left is a graph of the other nodes, whose edges
+    carry the labels met on the runs, and its rounds are semi-naive.
+    """
     stages = Stages(edges.sparkSession, "labels")
-    edges = stages.write(edges.select("src", "dst").distinct())
-    seen = front = stages.write(labels.select("id", "label").distinct())
-    for _ in range(max_rounds):
-        step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), "label").distinct()
-        front = stages.write(step.join(seen, ["id", "label"], "left_anti"))
-        if not front.head(1):
+    plain = stages.write(edges.select("src", "dst").where("src <> dst").distinct())
+    seeds = stages.write(labels.select("id", "label").where("label is not null").groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("own")))
+    none = F.array().cast("array<string>")
+    only = plain.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up")).where("n = 1").select(F.col("dst").alias("id"), "up")
+    # (id, up, met): the nearest ancestor known so far and the labels from the node up to below it
+    jump = stages.write(only.join(seeds, "id", "left").select("id", "up", F.coalesce("own", none).alias("met")))
+    far, left = None, jump.count()
+    while left:
+        above = jump.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("met").alias("met2"))
+        longer = stages.write(jump.join(above, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), F.array_union("met", F.coalesce("met2", none)).alias("met"), F.col("up2").isNotNull().alias("more")))
+        far, jump, before = longer, longer.select("id", "up", "met"), left
+        left = longer.where("more").count()
+        if left == before:  # the rest hangs from cycles without any entry
             break
-        seen = seen.unionByName(front)
-    return seen
-
-
-def parent_chain(hierarchy: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+    hung = far.where("more").select("id") if left else None
+    runs = jump if hung is None else stages.write(jump.join(hung, "id", "left_anti"))
+    # edges into the other nodes start at the roots of the runs and bring what the runs meet
+    inner = plain.join(runs.select(F.col("id").alias("dst")), "dst", "left_anti").join(runs.select(F.col("id").alias("src"), "up", "met"), "src", "left")
+    inner = stages.write(inner.select(F.coalesce("up", "src").alias("src"), "dst", "met"))
+    brought = inner.where("met is not null").select(F.col("dst").alias("id"), F.explode("met").alias("label"))
+    start = stages.write(brought.unionByName(seeds.select("id", F.explode("own").alias("label")).join(runs.select("id"), "id", "left_anti")).distinct())
+    known = _spread(stages, inner.select("src", "dst"), start, ["id", "label"], None, False)
+    met = runs.select("id", F.explode("met").alias("label"))
+    passed = runs.join(known.select(F.col("id").alias("up"), "label"), "up").select("id", "label")
+    return known.unionByName(met).unionByName(passed).distinct()
+
+
+def parent_chain(hierarchy: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, ancestor, depth): the chain of smallest parents of each node (id), itself at depth 0."""
     up = hierarchy.groupBy("child").agg(F.min("parent").alias("parent"))
     chain = closure(up.select(F.col("child").alias("src"), F.col("parent").alias("dst")), nodes, max_depth)
@@ -133,7 +169,7 @@ def breadcrumbs(hierarchy: DataFrame, membership: DataFrame, nodes: DataFrame) -
     """(id, position, crumb): the smallest group of the node or of its nearest grouped ancestor, then ancestors from the top."""
     chain = parent_chain(hierarchy, nodes)
     groups = membership.groupBy(F.col("member_id").alias("ancestor")).agg(F.min("group_id").alias("group_id"))
-    prefix = chain.join(groups, "ancestor").groupBy("id").agg(F.min_by("group_id", "depth").alias("crumb"), F.lit(10**6).alias("depth"))
+    prefix = chain.join(groups, "ancestor").groupBy("id").agg(F.min_by("group_id", "depth").alias("crumb"), F.lit(2**31 - 1).alias("depth"))
     rows = chain.select("id", F.col("ancestor").alias("crumb"), "depth").unionByName(prefix.select("id", "crumb", "depth"))
     return rows.select("id", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("depth"))).alias("position"), "crumb")
 
@@ -157,16 +193,20 @@ def first_group(membership: DataFrame, hierarchy: DataFrame, order: DataFrame |
 
 
 def layer_ranks(edges: DataFrame, nodes: DataFrame, max_rank: int = 1000) -> DataFrame:
-    """(id, rank): longest-path relaxation, at most one round fewer than nodes and never over ``max_rank``."""
+    """(id, rank): longest-path relaxation, at most one round fewer than nodes and never over ``max_rank``.
+
+    Only nodes whose rank has risen push in the next round.
+    """
     stages = Stages(edges.sparkSession, "layers")
-    edges = stages.write(edges.select("src", "dst").where("src <> dst").distinct())
-    ranks = stages.write(nodes.select("id").distinct().withColumn("rank", F.lit(0)))
+    edges = stages.laid_out(edges.select("src", "dst").where("src <> dst").distinct(), "src")
+    ranks = moved = stages.write(nodes.select("id").distinct().withColumn("rank", F.lit(0)))
     for _ in range(min(max_rank, max(1, ranks.count() - 1))):
-        push = edges.join(ranks, edges["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg((F.max("rank") + 1).alias("up"))
+        push = edges.join(moved.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("rank") + 1).alias("up"))
         after = stages.write(ranks.join(push, "id", "left").select("id", F.greatest("rank", F.coalesce("up", F.lit(0))).cast("int").alias("rank"), (F.coalesce("up", F.lit(0)) > F.col("rank")).alias("moved")))
-        ranks = after.select("id", "rank")
-        if not after.where("moved").head(1):
+        ranks, moved = after.select("id", "rank"), after.where("moved").select("id", "rank")
+        if not moved.head(1):
             break
+    edges.unpersist()
     return ranks
 
 

@@ -46,59 +46,86 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _checked(df: DataFrame, rules: list[tuple], *extra: Column) -> DataFrame:
+    """Violations of rules (name, condition, detail or null) on one table, in one pass; ``extra`` are arrays of further ones."""
+    row = lambda rule, detail: F.struct(F.lit(rule).alias("rule"), (F.lit("") if detail is None else F.coalesce(detail.cast("string"), F.lit(None))).alias("detail"))
+    found = F.array_compact(F.array(*[F.when(bad, row(rule, detail)) for rule, bad, detail in rules]))
+    return df.select("id", F.explode(F.concat(found, *extra) if extra else found).alias("v")).select("v.rule", F.col("id").alias("record_id"), "v.detail")
+
+
+def _domain(column: str, domain: str) -> tuple:
+    return f"domain_{domain}", F.col(column).isNull() | ~F.col(column).isin(*DOMAINS[domain]), F.col(column)
+
+
+def _bad_spans(spans: Column) -> Column:
+    """One violation for each span whose numbers are out of order."""
+    bad = lambda s: F.coalesce((s["start_line"] < 1) | (s["end_line"] < s["start_line"]) | (s["start_column"] < 0) | (s["end_column"] < 0), F.lit(False))
+    made = F.transform(F.filter(spans, bad), lambda s: F.struct(F.lit("span_order").alias("rule"), F.lit("").alias("detail")))
+    return F.coalesce(made, F.array().cast("array<struct<rule:string,detail:string>>"))
+
+
 def record_rules(graph: EvidenceGraph) -> DataFrame:
-    """Rules that look at one record: spans, occurrences, claims, conflicts, confidences, domains."""
-    spans = graph.nodes.select("id", F.explode("source").alias("s")).unionByName(graph.evidence.where("source is not null").select("id", F.col("source").alias("s")))
-    span_bad = "s.start_line < 1 or s.end_line < s.start_line or s.start_column < 0 or s.end_column < 0"
-    occurrence = F.col("identity_kind") == "occurrence"
-    parts = [
-        _rows(spans, "span_order", span_bad),
-        _rows(graph.nodes, "occurrence_without_run", occurrence & F.col("run_id").isNull()),
-        _rows(graph.nodes, "index_without_occurrence", ~occurrence & F.col("occurrence_index").isNotNull()),
-        _rows(graph.nodes, "definition_without_occurrence", ~occurrence & F.col("definition_id").isNotNull()),
-        _rows(graph.claims, "claim_object_xor_value", F.col("object_id").isNull() == (F.col("value_json").isNull() | (F.col("value_json") == "null"))),
-        _rows(graph.conflicts, "conflict_claims", (F.size(F.array_distinct("claim_ids")) < 2) | (F.size(F.array_distinct("claim_ids")) < F.size("claim_ids"))),
-        _rows(graph.conflicts, "conflict_resolution", (F.col("status") == "resolved") & (F.coalesce(F.trim("resolution"), F.lit("")) == "")),
-        _rows(graph.evidence, "confidence_range", (F.col("confidence") < 0) | (F.col("confidence") > 1)),
-        _rows(graph.claims, "confidence_range", (F.col("confidence") < 0) | (F.col("confidence") > 1)),
+    """Rules that look at one record: spans, occurrences, claims, conflicts, confidences, domains; one pass a table."""
+    occurrence, range_ = F.col("identity_kind") == "occurrence", (F.col("confidence") < 0) | (F.col("confidence") > 1)
+    distinct = F.size(F.array_distinct("claim_ids"))
+    nodes = [
+        ("occurrence_without_run", occurrence & F.col("run_id").isNull(), None),
+        ("index_without_occurrence", ~occurrence & F.col("occurrence_index").isNotNull(), None),
+        ("definition_without_occurrence", ~occurrence & F.col("definition_id").isNotNull(), None),
+        _domain("level", "level"), _domain("kind", "node_kind"), _domain("identity_kind", "identity_kind"),
+    ]
+    conflicts = [
+        ("conflict_claims", (distinct < 2) | (distinct < F.size("claim_ids")), None),
+        ("conflict_resolution", (F.col("status") == "resolved") & (F.coalesce(F.trim("resolution"), F.lit("")) == ""), None),
+        _domain("kind", "conflict_kind"), _domain("status", "conflict_status"),
+    ]
+    claims = [("claim_object_xor_value", F.col("object_id").isNull() == (F.col("value_json").isNull() | (F.col("value_json") == "null")), None), ("confidence_range", range_, None)]
+    return _union([
+        _checked(graph.nodes, nodes, _bad_spans(F.col("source"))),
+        _checked(graph.edges, [_domain("kind", "edge_kind")]),
+        _checked(graph.evidence, [("confidence_range", range_, None), _domain("kind", "evidence_kind"), _domain("status", "fact_status")], _bad_spans(F.array_compact(F.array("source")))),
+        _checked(graph.claims, claims),
+        _checked(graph.conflicts, conflicts),
+        _checked(graph.coverage, [_domain("status", "coverage_status")]),
         coverage_rules(graph.coverage),
-    ]
-    for df, column, domain in (
-        (graph.nodes, "level", "level"), (graph.nodes, "kind", "node_kind"), (graph.nodes, "identity_kind", "identity_kind"), (graph.edges, "kind", "edge_kind"),
-        (graph.evidence, "kind", "evidence_kind"), (graph.evidence, "status", "fact_status"), (graph.coverage, "status", "coverage_status"),
-        (graph.conflicts, "kind", "conflict_kind"), (graph.conflicts, "status", "conflict_status"),
-    ):
-        parts.append(_rows(df, f"domain_{domain}", F.col(column).isNull() | ~F.col(column).isin(*DOMAINS[domain]), F.col(column)))
-    return _union(parts)
+    ])
+
+
+def references(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule, record_id, target, ref) of rules (name, target, column) on one table, in one pass; a column is an id or a list of ids."""
+    kinds = dict(df.select(*[F.col(c).alias(str(i)) for i, (_, _, c) in enumerate(rules)]).dtypes)
+
+    def each(i: int, rule: str, target: str, column: str) -> Column:
+        ids = F.col(column) if kinds[str(i)].startswith("array") else F.array(column)
+        some = F.array_compact(F.coalesce(ids, F.array().cast("array<string>")))
+        return F.transform(some, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(target).alias("target"), x.alias("ref")))
+
+    made = [each(i, *r) for i, r in enumerate(rules)]
+    return df.select("id", F.explode(F.concat(*made)).alias("r")).select("r.rule", F.col("id").alias("record_id"), "r.target", "r.ref")
 
 
 def reference_rules(graph: EvidenceGraph) -> DataFrame:
-    """Rules that look for the records others point to."""
-    nodes, evidence, runs = graph.nodes, graph.evidence, graph.runs
-    each = lambda df, column: df.select("id", F.explode(column).alias("ref"))
-    one = lambda df, column: df.select("id", F.col(column).alias("ref"))
-    subjects = nodes.select("id").unionByName(graph.edges.select("id")).unionByName(runs.select("id"))
-    wrong = nodes.select("id", F.col("definition_id").alias("ref")).join(nodes.select(F.col("id").alias("ref"), F.col("identity_kind").alias("k")), "ref")
-    return _union([
-        dangling("node_parent", each(nodes, "parent_ids"), nodes),
-        dangling("node_evidence", each(nodes, "evidence_ids"), evidence),
-        dangling("node_run", one(nodes, "run_id"), runs),
-        dangling("node_definition", one(nodes, "definition_id"), nodes),
-        wrong.where("k <> 'definition'").select(F.lit("definition_kind").alias("rule"), F.col("id").alias("record_id"), F.col("ref").alias("detail")),
-        dangling("edge_source", one(graph.edges, "source"), nodes),
-        dangling("edge_target", one(graph.edges, "target"), nodes),
-        dangling("edge_evidence", each(graph.edges, "evidence_ids"), evidence),
-        dangling("evidence_run", one(evidence, "run_id"), runs),
-        dangling("claim_subject", one(graph.claims, "subject_id"), subjects),
-        dangling("claim_object", one(graph.claims, "object_id"), subjects),
-        dangling("claim_evidence", each(graph.claims, "evidence_ids"), evidence),
-        dangling("claim_run", graph.claims.select("id", F.explode("scope.run_ids").alias("ref")), runs),
-        dangling("conflict_claim", each(graph.conflicts, "claim_ids"), graph.claims),
-        dangling("coverage_subject", one(graph.coverage, "subject_id"), subjects),
-        dangling("coverage_run", each(graph.coverage, "considered_run_ids"), runs),
-        dangling("coverage_run", each(graph.coverage, "observed_run_ids"), runs),
-        dangling("coverage_evidence", each(graph.coverage, "evidence_ids"), evidence),
+    """Rules that look for the records others point to: all references meet all ids in one join by (target, id)."""
+    refs = _union([
+        references(graph.nodes, [("node_parent", "node", "parent_ids"), ("node_evidence", "evidence", "evidence_ids"), ("node_run", "run", "run_id"), ("node_definition", "node", "definition_id")]),
+        references(graph.edges, [("edge_source", "node", "source"), ("edge_target", "node", "target"), ("edge_evidence", "evidence", "evidence_ids")]),
+        references(graph.evidence, [("evidence_run", "run", "run_id")]),
+        references(graph.claims, [("claim_subject", "subject", "subject_id"), ("claim_object", "subject", "object_id"), ("claim_evidence", "evidence", "evidence_ids"), ("claim_run", "run", "scope.run_ids")]),
+        references(graph.conflicts, [("conflict_claim", "claim", "claim_ids")]),
+        references(graph.coverage, [("coverage_subject", "subject", "subject_id"), ("coverage_run", "run", "considered_run_ids"), ("coverage_run", "run", "observed_run_ids"), ("coverage_evidence", "evidence", "evidence_ids")]),
     ])
+    none = F.lit(None).cast("string")
+    ids = lambda df, kind, *targets: df.select(F.explode(F.array(*map(F.lit, targets))).alias("target"), F.col("id").alias("ref"), kind.alias("kind"))
+    known = _union([
+        ids(graph.nodes, F.coalesce("identity_kind", F.lit("")), "node", "subject"), ids(graph.edges, none, "subject"), ids(graph.runs, none, "run", "subject"),
+        ids(graph.evidence, none, "evidence"), ids(graph.claims, none, "claim"),
+    ]).groupBy("target", "ref").agg(F.count("*").alias("there"), F.collect_set("kind").alias("kinds"))
+    met = refs.join(known, ["target", "ref"], "left")
+    missing = met.where("there is null").select("rule", "record_id", F.col("ref").alias("detail"))
+    # a definition has to be one; an id used twice counts as each of its kinds
+    other = F.size(F.array_remove("kinds", "definition")) > 0
+    wrong = met.where((F.col("rule") == "node_definition") & other).select(F.lit("definition_kind").alias("rule"), "record_id", F.col("ref").alias("detail"))
+    return missing.unionByName(wrong)
 
 
 def violations(graph: EvidenceGraph) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import align, explore, metrics, project, traverse, validate
 from ..sources.tables import SQL, bind, calls, read
+from ..sources.traces import number_occurrences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,12 +109,12 @@ def edges_within_slice(spark, sf):
 @query("""WITH_GRAPH SELECT id, 'part:' || pk AS definition_id, CAST(row_number() OVER (PARTITION BY pk ORDER BY id) - 1 AS INT) AS occurrence_index FROM call""")
 def occurrences_of_definition(spark, sf):
     """Numbered occurrences of every definition."""
-    from pyspark.sql.window import Window
-
     g = bind(spark, sf)
     definitions = g.nodes.where("identity_kind = 'definition'").select(F.col("id").alias("definition_id"))
     rows = g.nodes.where("identity_kind = 'occurrence'").select("id", "definition_id").join(definitions, "definition_id")
-    return rows.select("id", "definition_id", (F.row_number().over(Window.partitionBy("definition_id").orderBy("id")) - 1).alias("occurrence_index"))
+    # all calls as one run, in the order of their ids
+    numbered = number_occurrences(rows.withColumn("seq", F.col("id")).withColumn("run_id", F.col("definition_id")))
+    return numbered.select("id", "definition_id", "occurrence_index")
 
 
 @query("""WITH_GRAPH SELECT DISTINCT 'part:' || pk AS definition_id, p_name AS label FROM call JOIN part ON p_partkey = pk WHERE run = 'run.1996'""")
@@ -255,16 +256,16 @@ def expand_children(spark, sf):
     return explore.expand(bind(spark, sf).hierarchy(), 5)
 
 
-@query("""WITH_GRAPH, m AS (SELECT 'region:' || n_regionkey AS group_id, 'nation:' || n_nationkey AS member_id FROM nation UNION SELECT 'region:' || n_regionkey, 'customer:' || c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0)
+@query("""WITH_GRAPH, m AS (SELECT 'region:' || n_regionkey AS group_id, 'nation:' || n_nationkey AS member_id FROM nation UNION SELECT 'region:' || n_regionkey, 'customer:' || c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey)
 SELECT group_id, member_id FROM m WHERE NOT EXISTS (SELECT 1 FROM hier h JOIN m p ON p.member_id = h.parent WHERE h.child = m.member_id AND p.group_id = m.group_id)""")
 def top_members(spark, sf):
     """Members without a parent in their group."""
     g = bind(spark, sf)
-    some = _members(spark, sf).where("member_id like 'customer:%' and cast(split(member_id, ':')[1] as int) % 2 = 0").select("group_id", "member_id")
+    some = _members(spark, sf).where("member_id like 'customer:%'").select("group_id", "member_id")
     return explore.top_members(g.membership().unionByName(some).distinct(), g.hierarchy())
 
 
-@query("""WITH_GRAPH, c(id, ancestor, depth) AS (SELECT 'customer:' || c_custkey, 'customer:' || c_custkey, 0 FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c.id, h.parent, depth + 1 FROM c JOIN (SELECT child, min(parent) AS parent FROM hier GROUP BY child) h ON h.child = c.ancestor),
+@query("""WITH_GRAPH, c(id, ancestor, depth) AS (SELECT 'customer:' || c_custkey, 'customer:' || c_custkey, 0 FROM customer UNION ALL SELECT c.id, h.parent, depth + 1 FROM c JOIN (SELECT child, min(parent) AS parent FROM hier GROUP BY child) h ON h.child = c.ancestor),
 g AS (SELECT c.id, arg_min('region:' || n_regionkey, depth) AS crumb FROM c JOIN nation ON 'nation:' || n_nationkey = c.ancestor GROUP BY c.id)
 SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS INT) AS position, crumb FROM (SELECT id, ancestor AS crumb, depth FROM c UNION ALL SELECT id, crumb, 1000000 FROM g) x""")
 def breadcrumbs(spark, sf):
@@ -273,7 +274,7 @@ def breadcrumbs(spark, sf):
     return traverse.breadcrumbs(g.hierarchy(), g.membership(), g.nodes.where("id like 'customer:%'").select("id"))
 
 
-_REACH = """WITH_GRAPH, r(id, depth) AS (SELECT '{seed}', 0 UNION SELECT {to}, depth + 1 FROM r JOIN edge ON {frm} = r.id AND kind IN ('data', 'consumes', 'produces') WHERE depth < 8)
+_REACH = """WITH_GRAPH, r(id, depth) AS (SELECT '{seed}', 0 UNION SELECT {to}, depth + 1 FROM r JOIN edge ON {frm} = r.id AND kind IN ('data', 'consumes', 'produces'))
 SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id"""
 
 
@@ -281,14 +282,14 @@ SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id"""
 def lineage_downstream(spark, sf):
     """Everything that flows from one customer."""
     g = bind(spark, sf)
-    return traverse.reach(g.flow().select("src", "dst"), spark.createDataFrame([("customer:7",)], "id string"), 8)
+    return traverse.reach(g.flow().select("src", "dst"), spark.createDataFrame([("customer:7",)], "id string"))
 
 
 @query(_REACH.format(seed="supplier:3", frm="target", to="source"))
 def lineage_upstream(spark, sf):
     """Everything that flows to one supplier."""
     g = bind(spark, sf)
-    return traverse.reach(g.flow().select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([("supplier:3",)], "id string"), 8)
+    return traverse.reach(g.flow().select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([("supplier:3",)], "id string"))
 
 
 @query()

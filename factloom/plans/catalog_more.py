@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import align, claims, compare, explore, flows, metrics, semantics, traverse
+from ..schema import EvidenceGraph
 from ..sources.configs import flatten_json
 from ..sources.tables import bind, calls, read
 from .catalog import _id, query
@@ -17,7 +18,7 @@ _TYPES = "['click', 'error', 'purchase', 'signup', 'view']"
 
 @query(f"""WITH e AS (SELECT event_id, 'customer:' || user_id AS sym, event_type AS formal FROM events)
 SELECT DISTINCT 'order:' || o_orderkey AS producer, 'event:' || event_id AS consumer, o_orderpriority AS variable
-FROM orders JOIN e ON sym = 'customer:' || o_custkey AND formal = {_TYPES}[1 + o_custkey % 5] WHERE o_orderkey % 20 = 0 AND event_id % 3 = 0""")
+FROM orders JOIN e ON sym = 'customer:' || o_custkey AND formal = {_TYPES}[1 + o_custkey % 5]""")
 def argument_flow(spark, sf):
     """Orders as outer calls of customers, events as inner calls naming the customer's formal."""
     orders = read(spark, sf, "orders")
@@ -112,60 +113,62 @@ def align_suffix_best(spark, sf):
 
 
 @query("""WITH d AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
-SELECT item_id, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM b JOIN d USING (line) WHERE length(line) >= 40 GROUP BY item_id""")
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM b JOIN d USING (line) GROUP BY item_id""")
 def containment_alignment(spark, sf):
     """Documents that hold a whole line of a benchmark item (equal lines, an equi join)."""
-    lines = lambda name, key: read(spark, sf, name).select(key, F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 40).distinct()
+    lines = lambda name, key: read(spark, sf, name).select(key, F.explode(F.split("text", "\n")).alias("line")).distinct()
     return lines("benchmark", "item_id").join(lines("documents", "doc_id"), "line").groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 # -- semantics -----------------------------------------------------------------------
 
-_RULES = (("vision_encoder", 10, 0.88, ("ring", "vit")), ("memory", 43, 0.88, ("widget",)), ("generic_encoder", 90, 0.58, ("bolt", "small")))
+# parts with names that the fixed role table knows; the SQL repeats the three roles they meet
+_WORDS = ("resnet trunk", "memory bank", "text encoder", "bolt")
 
 
-def _hyp(spark, sf):
-    """(id, role, priority, confidence) of parts under a small rule table."""
-    texts = read(spark, sf, "part").select(_id("part", "p_partkey").alias("id"), tx.normal_text(F.concat_ws(" ", "p_name", "p_type")).alias("text"))
-    rows = [
-        F.when(F.greatest(*[tx.keyword_hit(F.col("text"), F.lit(k)).cast("int") for k in (*words, "~never~")]) == 1, F.struct(F.lit(r).alias("role"), F.lit(p).alias("priority"), F.lit(c).alias("confidence")))
-        for r, p, c, words in _RULES
-    ]
-    return texts.select("id", F.explode(F.array_compact(F.array(*rows))).alias("h")).select("id", "h.*")
+def _parts(spark, sf):
+    """Parts as mechanical nodes, a third of them losses by kind, with a word of the role table by key."""
+    part = read(spark, sf, "part")
+    word = F.get(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % 4).cast("int"))
+    none = F.array().cast("array<string>")
+    return part.select(
+        _id("part", "p_partkey").alias("id"), F.lit("operation").alias("level"), F.when(F.col("p_partkey") % 5 == 0, "loss").otherwise("operation").alias("kind"), F.lit("definition").alias("identity_kind"),
+        F.col("p_name").alias("label"), none.alias("parent_ids"), none.alias("evidence_ids"), F.to_json(F.struct(word.alias("of"), F.array(F.lit("x")).alias("list"))).alias("attributes_json"),
+    )
+
+
+def _hypotheses(spark, sf):
+    """The hypotheses of parts by the fixed role table."""
+    graph = EvidenceGraph.of(spark)
+    return semantics.hypotheses(graph.with_tables(nodes=graph.nodes.unionByName(_parts(spark, sf), allowMissingColumns=True)))
 
 
-_HYP_SQL = """h AS (SELECT id, role, priority, confidence FROM (SELECT 'part:' || p_partkey AS id, lower(p_name || ' ' || p_type) AS t FROM part) x,
-(VALUES ('vision_encoder', 10, 0.88, 'ring', 'vit'), ('memory', 43, 0.88, 'widget', 'widget'), ('generic_encoder', 90, 0.58, 'bolt', 'small')) r(role, priority, confidence, a, b) WHERE contains(t, a) OR contains(t, b))"""
+_HYP_SQL = """p AS (SELECT 'part:' || p_partkey AS id, p_partkey AS k, p_brand FROM part),
+h AS (SELECT id, 'vision_encoder' AS role, 10 AS priority, 0.88 AS confidence FROM p WHERE k % 4 = 0 UNION ALL SELECT id, 'memory', 43, 0.88 FROM p WHERE k % 4 = 1
+UNION ALL SELECT id, 'language_encoder', 11, 0.88 FROM p WHERE k % 4 = 2 UNION ALL SELECT id, 'generic_encoder', 90, 0.58 FROM p WHERE k % 4 = 2 UNION ALL SELECT id, 'loss', 60, 0.99 FROM p WHERE k % 5 = 0)"""
 
 
 @query(f"WITH {_HYP_SQL} SELECT id, role, confidence::DOUBLE AS confidence, CAST(row_number() OVER (PARTITION BY id ORDER BY confidence DESC, priority, role) AS INT) AS rank FROM h")
 def role_hypotheses(spark, sf):
-    """Ranked keyword roles of parts."""
-    from pyspark.sql.window import Window
+    """Ranked roles of parts by the whole rule table."""
+    return _hypotheses(spark, sf).select("id", "role", "confidence", "rank")
 
-    return _hyp(spark, sf).select("id", "role", "confidence", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "priority", "role")).alias("rank"))
 
-
-@query(f"""WITH {_HYP_SQL}, t AS (SELECT h.*, 'brand:' || p_brand AS anchor FROM h JOIN part ON 'part:' || p_partkey = h.id QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY confidence DESC, priority, role) = 1)
+@query(f"""WITH {_HYP_SQL}, t AS (SELECT h.*, 'brand:' || p_brand AS anchor FROM h JOIN p ON p.id = h.id QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY confidence DESC, priority, role) = 1)
 SELECT anchor, id, role, confidence::DOUBLE AS confidence FROM t QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY confidence DESC, priority, id) = 1""")
 def anchor_winner(spark, sf):
     """The winning part of each brand."""
-    from pyspark.sql.window import Window
-
-    top = _hyp(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "priority", "role"))).where("r = 1").drop("r")
     anchors = read(spark, sf, "part").select(_id("part", "p_partkey").alias("id"), F.concat(F.lit("brand:"), "p_brand").alias("anchor"))
-    return semantics.anchor_winners(top, anchors)
+    return semantics.anchor_winners(_hypotheses(spark, sf).where("rank = 1"), anchors)
 
 
-@query(f"""WITH {_HYP_SQL} SELECT 'part:' || p_partkey AS id, CASE WHEN c IS NULL THEN 'unknown' ELSE 'low_confidence' END AS status, coalesce(c, '') AS candidates
-FROM part LEFT JOIN (SELECT id, string_agg(role, ',' ORDER BY confidence DESC, priority, role) AS c FROM h GROUP BY id) g ON g.id = 'part:' || p_partkey WHERE p_size % 4 <> 0""")
+@query(f"""WITH {_HYP_SQL}, r AS (SELECT id, role, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, priority, role) AS rank FROM h)
+SELECT 'part:' || p_partkey AS id, CASE WHEN c IS NULL THEN 'unknown' ELSE 'low_confidence' END AS status, coalesce(c, '') AS candidates
+FROM part LEFT JOIN (SELECT id, string_agg(role, ',' ORDER BY rank) AS c FROM r WHERE rank <= 3 GROUP BY id) g ON g.id = 'part:' || p_partkey WHERE p_size % 4 <> 0""")
 def unclassified_nodes(spark, sf):
     """Parts outside groups with their best roles."""
-    from pyspark.sql.window import Window
-
     nodes = read(spark, sf, "part").select(_id("part", "p_partkey").alias("id"), "p_size")
-    ranked = _hyp(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "priority", "role")))
-    return semantics.unclassified(nodes, nodes.where("p_size % 4 = 0").select("id"), ranked)
+    return semantics.unclassified(nodes, nodes.where("p_size % 4 = 0").select("id"), _hypotheses(spark, sf))
 
 
 @query("""SELECT 'brand:' || p_brand AS group_id, 'part:' || p_partkey AS member_id FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT 'human:' || (p_partkey % 3), 'part:' || p_partkey FROM part WHERE p_partkey % 11 = 0""")
@@ -179,19 +182,21 @@ def override_groups(spark, sf):
 
 # -- claims --------------------------------------------------------------------------
 
-_PATTERNS = (("license", r"\blicense\b"), ("secret", r"\btoken\b"))
+_SAY = ("uses a vision encoder", "no memory bank is used", "the tokenizer is frozen", "a trainable planner, without a controller", "fine tuned policy", "nothing here")
+_SAID = """(VALUES (0, 'vision_encoder', 'component_present', true), (1, 'memory', 'component_present', false), (2, 'tokenizer', 'component_present', true), (2, 'tokenizer', 'frozen', true), (3, 'planner', 'component_present', true),
+(3, 'planner', 'frozen', false), (3, 'controller', 'component_present', false), (3, 'controller', 'frozen', false), (4, 'policy', 'component_present', true), (4, 'policy', 'frozen', false)) s(k, role, predicate, value)"""
 
 
-@query(r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM d)
-SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path, CAST(line AS INT) AS line, role, 'component_present' AS predicate, true AS value FROM x, (VALUES ('license', '(?i)\blicense\b'), ('secret', '(?i)\btoken\b')) p(role, p) WHERE regexp_matches(t, p)""")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, CAST(2 AS INT) AS line, role, predicate, value FROM documents JOIN {_SAID} ON s.k = doc_id % 6")
 def author_declarations(spark, sf):
-    """Declared components in document lines."""
-    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return claims.declarations(claims.lines_of(docs), _PATTERNS)
+    """Declarations by the fixed patterns in the second line made for each document, negations and frozen words included."""
+    say = F.get(F.array(*map(F.lit, _SAY)), (F.col("doc_id") % len(_SAY)).cast("int"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# title\n"), say).alias("text"))
+    return claims.declarations(claims.lines_of(docs))
 
 
 _CLAIMS = """WITH a AS (SELECT 'claim:' || doc_id AS claim_id, 'doc:' || doc_id AS subject_id, 'good' AS predicate, quality = 1 AS value, doc_id FROM labels),
-i AS (SELECT 'impl:' || doc_id AS impl_id, 'doc:' || doc_id AS subject_id, n_chars > 800 AS impl_value FROM documents WHERE doc_id % 4 <> 0)
+i AS (SELECT 'impl:' || doc_id AS impl_id, 'doc:' || doc_id AS subject_id, n_chars > 800 AS impl_value FROM documents)
 SELECT a.claim_id, a.subject_id, a.predicate, a.value, impl_id, impl_value, CASE WHEN impl_id IS NULL THEN 'unresolved' WHEN value = impl_value THEN 'supported' ELSE 'contradicted' END AS status FROM a LEFT JOIN i USING (subject_id)"""
 
 
@@ -240,7 +245,7 @@ def context_budget(spark, sf):
     return metrics.clip_budget(rows, ["source", "doc_id"], 24, 1200, 20000).select("doc_id", "rank", F.length("text").alias("n_chars"))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 = 0), x AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM d)
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM d)
 SELECT 'doc:' || doc_id AS id, CAST(0 AS INT) AS n, CAST(line AS INT) AS line, t AS text FROM x WHERE line BETWEEN 2 AND 4""")
 def source_excerpt(spark, sf):
     """Line 3 of documents with a line of context."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import inferred_identity
+from ..operators.validate import require_valid
 from ..schema import SCHEMAS, EvidenceGraph
 
 VERSION = "0.2"
@@ -31,9 +32,11 @@ def _raw_schema(name: str) -> str:
     return ", ".join(parts)
 
 
-def read_document(spark: SparkSession, path: str, lenient: bool = False) -> EvidenceGraph:
+def read_document(spark: SparkSession, path: str, lenient: bool = False, check: bool = False) -> EvidenceGraph:
     """Load JSON documents; older ones are migrated, unknown versions are errors unless ``lenient``.
 
+    With ``check`` every integrity rule has to hold (ValueError with the first violations).
+
     The open fields are read as JSON text, so no schema is inferred from the data.
     """
     schema = "schema_version string, project struct<name:string,root:string,repository_url:string,revision:string,metadata:string>, " + ", ".join(
@@ -50,7 +53,10 @@ def read_document(spark: SparkSession, path: str, lenient: bool = False) -> Evid
     tables["nodes"] = nodes.withColumn("identity_kind", F.coalesce("identity_kind", inferred_identity(F.coalesce("kind", F.lit("other")), F.coalesce("level", F.lit("semantic")))))
     migrated = F.when(version == "0.1", F.lit(json.dumps({"schema_migrations": [{"from": "0.1", "to": VERSION}]}))).otherwise(F.col("project.metadata"))
     projects = docs.select("project.name", "project.root", "project.repository_url", "project.revision", migrated.alias("metadata_json"))
-    return EvidenceGraph(projects=projects, **tables)
+    graph = EvidenceGraph(projects=projects, **tables)
+    if check:
+        require_valid(graph)
+    return graph
 
 
 def _collection(docs: DataFrame, name: str) -> DataFrame:
@@ -81,10 +87,37 @@ def write_tables(graph: EvidenceGraph, folder: str) -> None:
         getattr(graph, n).write.mode("overwrite").parquet(f"{folder}/{n}")
 
 
+def _raw(name: str) -> list:
+    """Columns of a collection as a document holds them: open fields and shapes as JSON values."""
+    back = {v: k for k, v in OPEN_FIELDS.items()}
+    out = []
+    for f in StructType.fromDDL(SCHEMAS[name]):
+        c = F.col(f.name)
+        if f.name in back:
+            c = F.try_parse_json(c)
+        elif f.name == "tensor":
+            symbol = lambda d: F.to_json(F.to_variant_object(F.array(d["symbol"])))
+            each = F.transform(c["shape"], lambda d: F.coalesce(d["size"].cast("string"), F.substring(symbol(d), F.lit(2), F.length(symbol(d)) - 2)))
+            sizes = F.try_parse_json(F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+            c = F.when(c.isNotNull(), F.struct(F.when(c["shape"].isNotNull(), sizes).alias("shape"), c["dtype"].alias("dtype"), c["device"].alias("device"), c["layout"].alias("layout"), c["requires_grad"].alias("requires_grad"), c["semantics"].alias("semantics")))
+        elif f.name == "scope":
+            c = F.when(c.isNotNull(), F.struct(c["run_ids"].alias("run_ids"), F.try_parse_json(c["conditions_json"]).alias("conditions"), c["tags"].alias("tags")))
+        out.append(c.alias(back.get(f.name, f.name)))
+    return out
+
+
 def write_document(graph: EvidenceGraph, path: str) -> None:
-    """JSON lines, one record a line with its collection: the distributed form of a document."""
-    out = None
-    for n in SCHEMAS:
-        part = getattr(graph, n).select(F.lit(n).alias("collection"), F.to_json(F.struct("*")).alias("record"))
-        out = part if out is None else out.unionByName(part)
-    out.write.mode("overwrite").json(path)
+    """One JSON document that ``read_document`` reads back: records by id, open fields as JSON values.
+
+    A document is one text and so one task's work; graphs beyond that belong in tables
+    (``write_tables``), which every operator reads as well.
+    """
+    lists = {n: getattr(graph, n).select("id", F.struct(*_raw(n)).alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json("r").alias("r")))), lambda x: x["r"]).alias(n)) for n in SCHEMAS if n != "projects"}
+    project = F.to_json(F.struct("name", "root", "repository_url", "revision", F.try_parse_json("metadata_json").alias("metadata")))
+    one = graph.projects.limit(1).select(project.alias("p")).agg(F.coalesce(F.max("p"), F.lit("{}")).alias("project"))
+    for df in lists.values():
+        one = one.crossJoin(df)  # one row each
+    parts = [F.lit(f'{{"schema_version":"{VERSION}","project":'), F.col("project")]
+    for n in lists:
+        parts += [F.lit(f',"{n}":['), F.array_join(n, ","), F.lit("]")]
+    one.select(F.concat(*parts, F.lit("}")).alias("value")).write.mode("overwrite").text(path)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import IGNORED_PARTS
+from ..schema import EvidenceGraph
 
 # Entry point names, frameworks, vendored folders, model bases.
 ENTRY_NAMES = ("main.py", "train.py", "eval.py", "evaluate.py", "inference.py", "demo.py", "run.py", "app.py")
@@ -279,26 +280,36 @@ def context_documents(files: DataFrame) -> DataFrame:
     return found.select("path", F.col("content").cast("string").alias("text"), F.when(readme, 0).otherwise(1).alias("tier"))
 
 
-def embed_files(paths: list[str], sizes: dict[str, int], texts: dict[str, bool], root_ok: dict[str, bool], max_file: int = 256_000, max_total: int = 5_000_000) -> list[tuple[str, str]]:
-    """(path, outcome) of a bounded bundle: sorted paths are taken while they fit; a skipped file uses nothing.
+def referenced_paths(graph: EvidenceGraph) -> DataFrame:
+    """(path): the distinct paths of node and evidence spans."""
+    spans = graph.nodes.select(F.explode("source").alias("s")).unionByName(graph.evidence.where("source is not null").select(F.col("source").alias("s")))
+    return spans.select("s.path").where("path is not null").distinct()
 
-    Outcomes: embedded, outside_source_root, missing, file_too_large, total_limit, not_utf8_text.
+
+def bundle(paths: DataFrame, files: DataFrame, max_file: int = 256_000, max_total: int = 5_000_000) -> DataFrame:
+    """(path, outcome, bytes): which referenced files a bounded bundle holds; a skipped file uses nothing.
+
+    ``files`` has (path, size, utf8) of the files under the root; paths that are absolute
+    or climb out are outside.  What a path can tell alone is decided where it is; only
+    files that may be taken run, sorted, through one stream that keeps one number.
     """
     if max_file < 1 or max_total < 1:
         raise ValueError("limits must be positive")
-    used, out = 0, []
-    for p in sorted(set(paths)):
-        if not root_ok.get(p, True):
-            out.append((p, "outside_source_root"))
-        elif p not in sizes:
-            out.append((p, "missing"))
-        elif sizes[p] > max_file:
-            out.append((p, "file_too_large"))
-        elif used + sizes[p] > max_total:
-            out.append((p, "total_limit"))
-        elif not texts.get(p, True):
-            out.append((p, "not_utf8_text"))
-        else:
-            used += sizes[p]
-            out.append((p, "embedded"))
-    return out
+    outside = F.startswith("path", F.lit("/")) | F.contains(F.concat(F.lit("/"), "path", F.lit("/")), F.lit("/../"))
+    known = paths.select("path").distinct().join(files.select("path", "size", "utf8"), "path", "left")
+    alone = F.when(outside, "outside_source_root").when(F.col("size").isNull(), "missing").when(F.col("size") > max_file, "file_too_large")
+    marked = known.withColumn("outcome", alone)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = max_total
+        for pdf in batches:
+            found = []
+            for size, text in zip(pdf["bytes"].tolist(), pdf["utf8"].tolist(), strict=True):
+                fits = size <= room
+                found.append("embedded" if fits and text else "not_utf8_text" if fits else "total_limit")
+                room -= size if fits and text else 0
+            yield pdf[["path"]].assign(outcome=found, bytes=pdf["bytes"])
+
+    open_ = marked.where("outcome is null").select("path", F.col("size").cast("long").alias("bytes"), "utf8").repartition(1).sortWithinPartitions("path")
+    done = marked.where("outcome is not null").select("path", "outcome", F.col("size").cast("long").alias("bytes"))
+    return done.unionByName(open_.mapInPandas(take, "path string, outcome string, bytes long"))

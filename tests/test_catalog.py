@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from factloom.plans import catalog, catalog_more  # noqa: F401 - registers its queries
+from factloom.plans import catalog, catalog_graph, catalog_more  # noqa: F401 - registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

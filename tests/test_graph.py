@@ -245,7 +245,9 @@ def test_static_graph(spark, code):
     kinds = {r["kind"]: r["n"] for r in metrics.histogram(g.edges, "kind").withColumnRenamed("value", "kind").collect()}
     assert kinds["calls"] >= 5 and kinds["data"] >= 4 and kinds["contains"] >= 10
     assert {r["confidence"] for r in g.evidence.collect()} == {0.7, 0.9, 1.0}
-    assert emit.decode_state(emit.encode_state({"run": "a b", "open": ["x", "y"], "none": ""})) == {"run": ["a b"], "open": ["x", "y"]}
+    state = {"view": "module", "selected_key": "module:a%3Ab", "run_id": "a b", "expanded_keys": ["x", "y"], "search": None}
+    assert emit.encode_state(state) == "view=module&selected=module%3Aa%253Ab&run=a+b&expanded=x&expanded=y" and emit.decode_state("?" + emit.encode_state(state)) == state
+    assert emit.decode_state("view=none&q=z") == {"view": "paper", "selected_key": None, "run_id": None, "expanded_keys": [], "search": "z"}
     moved = emit.remap_sources(spark.createDataFrame([("/opt/lib/m.py",), ("/opt/lib/pkg/a.py",), ("b.py",)], "path string"), {"/opt/lib": "src", "/opt/lib/pkg": "own"})
     assert ids(moved, "path") == ["b.py", "own/a.py", "src/m.py"]
     captured = spark.createDataFrame([("c1", "enc.block", "x"), ("c2", "z.head", "Head"), ("c3", "q.tail", "y"), ("c4", "none", "w")], "id string, target string, label string")
@@ -296,22 +298,68 @@ def test_traces(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
+    import os
+
     from factloom.streaming import events
 
     (tmp_path / "in").mkdir()
-    rows = [{"run_id": "r", "definition_id": "d", "id": f"e{i}", "seq": i, "ts": f"2024-01-01T00:0{i}:00Z"} for i in range(4)]
-    for i in range(2):
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, rows[2 * i : 2 * i + 2])))
-    stream = events.numbered(spark.readStream.schema(events.EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("numbered").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    row = lambda i, t: {"run_id": "r", "definition_id": "d" if i % 2 else "e", "id": f"e{i}", "seq": i, "ts": t}
+    # the later half arrives first; a last event, two days on, moves the watermark past all others
+    batches = [[row(i, f"2024-01-01T00:0{i}:00Z") for i in (2, 3)], [row(i, f"2024-01-01T00:0{i}:00Z") for i in (1, 0)], [row(9, "2024-01-03T00:00:00Z")], [row(8, "2024-01-01T00:00:30Z"), {**row(10, "2024-01-03T00:00:01Z"), "run_id": "s"}]]
+    for i, rows in enumerate(batches):
+        f = tmp_path / "in" / f"{i}.json"
+        f.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(f, (1_700_000_000 + 10 * i,) * 2)
+    read = lambda: spark.readStream.schema(events.EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = events.numbered(read()).writeStream.format("memory").queryName("numbered").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
     got = sorted((r["seq"], r["occurrence_index"], r["previous"]) for r in spark.sql("select * from numbered").collect())
-    assert [g[1] for g in got] == [0, 1, 2, 3]
+    assert got == [(0, 0, None), (1, 0, "e0"), (2, 1, "e1"), (3, 1, "e2")]
+    q = events.windowed_counts(read().where("id <> 'e8'")).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["definition_id"], r["n"]) for r in spark.sql("select * from windows").collect()) == [("d", 2), ("e", 2)]
+
+
+def test_label_chain(spark):
+    """A chain of 4,000 nodes, a cycle without entry, a diamond and a cycle with entry."""
+    import time
+
+    from factloom.operators import traverse
+
+    edges = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(3999)] + [("x", "y"), ("y", "z"), ("z", "x"), ("z", "out")] + [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "b")]
+    seeds = [("n0000", "vision"), ("n2000", "action"), ("y", "state"), ("c", "audio"), ("e", "text"), ("lonely", "depth")]
+    down = {}
+    for s, t in edges:
+        down.setdefault(s, []).append(t)
+    want = set()
+    for node, label in seeds:
+        todo = [node]
+        while todo:
+            at = todo.pop()
+            if (at, label) not in want:
+                want.add((at, label))
+                todo += down.get(at, [])
+    began = time.time()
+    found = traverse.label_fixpoint(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "id string, label string"))
+    got = [tuple(r) for r in found.select("id", "label").collect()]
+    print("4,000-node chain:", round(time.time() - began, 1), "s")
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_yaml_values():
+    from factloom.sources.configs import yaml_leaves
+
+    text = 'a:\n  color: "#fff"\n  url: http://x/a#frag\n\tdeep: 1 # one\n  b:\n      c: [1, 2]\n    d: none\n- e: f\n# g: h\ntop: TRUE\n  under: x'
+    assert list(yaml_leaves(text)) == [("a.color", "#fff"), ("a.url", "http://x/a#frag"), ("a.deep", 1), ("a.b.c", [1, 2]), ("a.b.d", None), ("top", True), ("under", "x")]
 
 
 def test_small_metrics(spark):
-    assert repository.embed_files(["b", "a", "c", "d"], {"a": 6, "b": 5, "c": 3}, {}, {}, max_file=10, max_total=10) == [("a", "embedded"), ("b", "total_limit"), ("c", "embedded"), ("d", "missing")]
+    paths = spark.createDataFrame([(p,) for p in ["b", "a", "c", "d", "/x", "u/../../y", "big", "bin"]], "path string")
+    files = spark.createDataFrame([("a", 6, True), ("b", 5, True), ("c", 3, True), ("big", 99, True), ("bin", 1, False)], "path string, size long, utf8 boolean")
+    got = {r["path"]: r["outcome"] for r in repository.bundle(paths, files, max_file=10, max_total=10).collect()}
+    assert got == {"a": "embedded", "b": "total_limit", "c": "embedded", "d": "missing", "/x": "outside_source_root", "u/../../y": "outside_source_root", "big": "file_too_large", "bin": "not_utf8_text"}
     rows = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "name string, at int")
     assert [r["label"] for r in metrics.top_values(rows, "name", "at").collect()] == ["x ×2", "y ×1"]
     cover = EvidenceGraph.of(spark, coverage=[{"id": "v", "status": "always_observed"}]).coverage
