@@ -25,7 +25,7 @@ DEFAULTS = {
 
 def _text(spark: SparkSession, path: str) -> str:
     """A small text file, read through Spark from any store."""
-    return spark.read.option("wholetext", True).text(path).first()["value"]
+    return spark.read.text(path, wholetext=True).first()["value"]
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
