@@ -1,11 +1,21 @@
 """Exact top-k inner products by dual cover-tree search.
 
 Vectors are cut into integer components floor(256 * x), so scores are exact integers.
-Queries and data are dealt into blocks of bounded size; every query block meets every
-data block in one task, which indexes both with cover trees and traverses the trees
-together.  A pair of nodes is pruned when the largest possible product of its
-members, <cq, cp> + |cq| Rp + |cp| Rq + Rq Rp, is under the worst kth score of the
-query group.  The best k of each block are merged by rank.
+
+Between blocks.  At most ``CELLS`` rows (those of the smallest id hash: a bounded,
+documented sample) are pivots, the top level of the cover: every query and every data row
+belongs to the cell of its nearest pivot, whose covering radius is the largest distance
+met there.  A hot cell is dealt over blocks of bounded size.  First each query meets one
+block, of the cell that can score highest; its kth score there and the least of its
+cell's queries' bound what follows.  Then a query's cell meets only the blocks of data
+cells whose largest possible product, <cq, cp> + |cq| Rp + |cp| Rq + Rq Rp, is not under
+that kth score; other pairs are pruned before any vector is sent.  The cell table (at
+most ``CELLS`` squared bounds) is all that the driver holds.
+
+Within a pair of blocks both sides are indexed by cover trees, which are traversed
+together: a pair of nodes is pruned by the same bound against the worst kth score of the
+node's queries, which starts at the score from the first meeting.  The best k of each
+pair are merged by rank.
 
 A node's members lie within its covering radius; its children's centres are further
 apart than the radius they cover.  Where such a cover would not shrink (in high
@@ -15,18 +25,23 @@ scored by one matrix product; nothing is dropped.
 Edge cases: null vectors and vectors with null or non-finite components take no part;
 shorter vectors count as padded with zeros; repeated identical rows count once;
 candidates that share the query's id are the query's own; ties go to the smaller id;
-products of 2**53 and more are computed with Python integers.
+products of 2**53 and more are computed with Python integers; an empty table or no query
+gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_ROWS, DATA_ROWS = 1024, 8192
+from .common import Scratch
+
+QUERY_ROWS, DATA_ROWS, CELLS = 1024, 8192, 1024
 LEAF, SHRINK, TRIES = 64, 0.6, 32
 
 
@@ -61,9 +76,10 @@ class Node:
 class Best:
     """The k best (score, id) of each query, ties to the smaller id."""
 
-    def __init__(self, n: int, k: int) -> None:
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None) -> None:
+        """``least``: scores that the kth best is known to reach (rows under them are not wanted)."""
         self.k = k
-        self.scores = np.full((n, k), -np.inf)
+        self.scores = np.full((n, k), -np.inf) if least is None else np.repeat(least[:, None], k, axis=1)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -85,9 +101,9 @@ class Best:
         self.ids[queries[rows[keep]], place[keep]] = names[keep]
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> Best:
-    """Best k rows of ``p`` for each row of ``q`` by inner product, own id excluded."""
-    best = Best(len(q), k)
+def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> Best:
+    """Best k rows of ``p`` for each row of ``q`` by inner product, own id excluded; rows under ``least`` may be left out."""
+    best = Best(len(q), k, least)
     norm = lambda x: float(np.sqrt((x * x).sum(axis=1).max()))
     if norm(q) * norm(p) >= 2**53:
         whole = [[int(v) for v in row] for row in p]
@@ -95,6 +111,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k
             row = [int(v) for v in row]
             found = sorted((-sum(a * b for a, b in zip(row, w, strict=True)), int(j)) for w, j in zip(whole, p_ids, strict=True) if j != q_ids[i])[:k]
             best.scores = best.scores.astype(object)
+            best.ids[i] = np.iinfo(np.int64).max
             for c, (s, j) in enumerate(found):
                 best.scores[i, c], best.ids[i, c] = -s, j
         return best
@@ -134,31 +151,104 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def top_k(data: DataFrame, is_query, k: int = 5, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS) -> DataFrame:
+def _assign(pivots: np.ndarray):
+    """Adds the nearest pivot and the distance to it (rounded up) to rows (vec_id, v, is_query)."""
+    width = pivots.shape[1]
+    squares = (pivots * pivots).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(pa.chunked_array([batch.column("v")]), max(width, _width(batch.column("v"))))
+            cell, away = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for lo in range(0, len(x), 1024):
+                part = x[lo : lo + 1024]
+                near = (squares - 2 * (part[:, :width] @ pivots.T)).argmin(axis=1)
+                centre = np.zeros_like(part)
+                centre[:, :width] = pivots[near]
+                cell[lo : lo + 1024], away[lo : lo + 1024] = near, np.sqrt(((part - centre) ** 2).sum(axis=1)) * (1 + 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=["vec_id", "v", "is_query", "cell", "away"])
+
+    return run
+
+
+def _width(column: pa.Array) -> int:
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    return max(1, int(lengths.max()) if len(lengths) else 1)
+
+
+def _bounds(pivots: np.ndarray, query_radius: np.ndarray, data_radius: np.ndarray) -> np.ndarray:
+    """Largest possible product of a query of one cell (row) and a data row of another; cells without rows have radius -1."""
+    norm = np.sqrt((pivots * pivots).sum(axis=1))
+    top = pivots @ pivots.T + norm[:, None] * data_radius[None, :] + norm[None, :] * query_radius[:, None] + query_radius[:, None] * data_radius[None, :]
+    top += 1e-6 * (1 + np.abs(top))
+    top[query_radius < 0, :] = -np.inf
+    top[:, data_radius < 0] = -np.inf
+    return top
+
+
+def top_k(data: DataFrame, is_query, k: int = 5, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score over rows (vec_id, embedding); ``is_query`` marks the queries."""
+    spark = data.sparkSession
+    scratch = Scratch(spark, "topk")
     finite = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('Infinity'))"
     usable = data.select("vec_id", "embedding").where(finite)
     ints = usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr("transform(embedding, x -> cast(floor(256 * cast(x as double)) as double))").alias("v")).distinct()
-    counts = usable.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    n_data, n_query = max(1, -(-counts["n"] // data_rows)), max(1, -(-counts["q"] // query_rows))
-    one = ints.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_data))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    two = ints.where(is_query).withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_query)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long")))
-    )
+    ints = scratch.write(ints.withColumn("is_query", F.coalesce(is_query, F.lit(False))), "ints")
+    n = ints.count()
+    # about four cells a block of data, as far as the bound goes
+    wanted = max(1, min(cells, 4 * -(-n // data_rows)))
+    drawn = ints.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(wanted).select("v").collect()
+    width = max([1, *(len(r["v"]) for r in drawn)])
+    pivots = np.unique(np.array([list(r["v"]) + [0.0] * (width - len(r["v"])) for r in drawn] or [[0.0] * width]), axis=0)
+    placed = scratch.write(ints.mapInArrow(_assign(pivots), "vec_id long, v array<double>, is_query boolean, cell int, away double"), "placed")
+    # one row a cell
+    found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r"), F.count_if("is_query").alias("q"), F.max(F.when(F.col("is_query"), F.col("away"))).alias("qr")).collect()
+    blocks, groups = {r["cell"]: -(-r["n"] // data_rows) for r in found}, {r["cell"]: -(-r["q"] // query_rows) for r in found if r["q"]}
+    data_radius, query_radius = np.full(len(pivots), -1.0), np.full(len(pivots), -1.0)
+    for r in found:
+        data_radius[r["cell"]] = r["r"]
+        if r["q"]:
+            query_radius[r["cell"]] = r["qr"]
+    top = _bounds(pivots, query_radius, data_radius)
+    first = {c: int(top[c].argmax()) for c in groups}
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not queries.num_rows or not rows.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        width = max(1, *(int(t.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max()) for t in (queries, rows)))
-        q, p = _matrix(queries.column("v"), width), _matrix(rows.column("v"), width)
+        wide = max(_width(t.column("v").combine_chunks()) for t in (queries, rows))
+        q, p = _matrix(queries.column("v"), wide), _matrix(rows.column("v"), wide)
         q_ids, p_ids = (t.column("vec_id").to_numpy() for t in (queries, rows))
-        best = search(q, q_ids, p, p_ids, k)
+        best = search(q, q_ids, p, p_ids, k, queries.column("least").to_numpy().astype(np.float64))
         there = best.ids != np.iinfo(np.int64).max
-        return pa.table(
-            [pa.array(np.repeat(q_ids, k)[there.ravel()]), pa.array(best.ids[there]), pa.array([int(s) for s in best.scores[there]], pa.int64())], names=names
-        )
-
-    found = two.groupBy("block", "group").cogroup(one.groupBy("block", "group")).applyInArrow(run, "query_id long, vec_id long, score long")
+        return pa.table([pa.array(np.repeat(q_ids, k)[there.ravel()]), pa.array(best.ids[there]), pa.array([int(s) for s in best.scores[there]], pa.int64())], names=names)
+
+    # blocks of a cell and groups of its queries, dealt by hashes of the id and the vector
+    count = lambda sizes: F.coalesce(F.get(F.lit([sizes.get(c, 1) for c in range(len(pivots))]), F.col("cell")), F.lit(1))
+    one = placed.select("vec_id", "v", F.col("cell").alias("to"), F.pmod(F.xxhash64("vec_id", "v"), count(blocks)).cast("int").alias("block"))
+    two = placed.where("is_query").select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), count(groups)).cast("int").alias("group"))
+
+    def met(queries: DataFrame, pairs: list[tuple[int, int, int, int]]) -> DataFrame:
+        """Results of the pairs (query cell, group, data cell, block); only rows that some pair needs are sent."""
+        plan = scratch.write(spark.createDataFrame(pairs, "cell int, group int, to int, block int"), "plan")
+        left = queries.join(plan, ["cell", "group"]).select("cell", "group", "to", "block", "vec_id", "v", "least")
+        # new names: both sides come from one table
+        right = one.join(plan, ["to", "block"]).select(*[F.col(c).alias(c) for c in ("cell", "group", "to", "block", "vec_id", "v")])
+        by = ("cell", "group", "to", "block")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    # first one block for each group of queries
+    start = met(two.withColumn("least", F.lit(float("-inf"))), [(c, g, first[c], 0) for c in groups for g in range(groups[c])])
+    seeds = scratch.write(start, "seeds")
+    least = seeds.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").cast("double").alias("s"))
+    seeded = two.join(least, "vec_id", "left").withColumn("least", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(float("-inf")))).drop("n", "s")
+    seeded = scratch.write(seeded, "seeded")
+    floor_ = {r["cell"]: r["s"] for r in seeded.groupBy("cell").agg(F.min("least").alias("s")).collect()}
+    rest = [
+        (c, g, int(d), b)
+        for c in groups for d in np.flatnonzero((top[c] >= floor_.get(c, -np.inf)) & (top[c] > -np.inf)) for b in range(blocks[int(d)]) if (int(d), b) != (first[c], 0)
+        for g in range(groups[c])
+    ]
+    every = seeds.unionByName(met(seeded, rest)) if rest else seeds
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

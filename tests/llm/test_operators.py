@@ -305,6 +305,35 @@ def test_top_k(spark, spread):
     assert dict(got) == want
 
 
+def test_top_k_prunes_cells(spark, monkeypatch):
+    """Far clusters: most pairs of cells are pruned before the exchange, and the answer is exact."""
+    r = np.random.default_rng(3)
+    centres = 4 * r.normal(size=(12, 24))
+    vectors = {i: centres[i % 12] + 0.05 * r.normal(size=24) for i in range(600)}
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in vectors.items()] + [(1000 + i, [0.0] * 24) for i in range(50)]  # one hot vector
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    from pyspark.sql import functions as F
+
+    seen, made = [], spark.createDataFrame
+
+    def watched(x, *a, **kw):
+        if isinstance(x, list) and a and str(a[0]).startswith("cell int"):
+            seen.append(len(x))
+        return made(x, *a, **kw)
+
+    monkeypatch.setattr(spark, "createDataFrame", watched)
+    got = defaultdict(list)
+    for x in topk.top_k(data, F.col("vec_id") % 50 == 0, query_rows=8, data_rows=32, cells=60).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    ints = {i: np.floor(256 * np.array(v, dtype=np.float64)).astype(int) for i, v in rows}
+    want = {q: sorted(((i, int(v @ ints[q])) for i, v in ints.items() if i != q), key=lambda p: (-p[1], p[0]))[:5] for q in ints if q % 50 == 0}
+    assert dict(got) == want
+    cells, pairs = seen[0], sum(seen)
+    assert pairs < 0.3 * cells * 60  # of 60 cells of data for each cell of queries
+    assert topk.top_k(data.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(data, F.lit(False)).count() == 0
+
+
 def test_top_k_large_values():
     q = np.array([[2.0**30, 1.0]])
     p = np.array([[2.0**30, 1.0], [2.0**30, 2.0], [2.0**30, 0.0]])
