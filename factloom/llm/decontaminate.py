@@ -10,8 +10,10 @@ of a window needs every one of its tokens, so its necessary prefix is its rarest
 token: document words join the windows' rarest tokens, the length and positional
 bounds (the window must fit around the matched word) drop impossible starts, and the
 words of the window are compared one by one.  The windows are broadcast in blocks of
-``BLOCK`` rows (the proven bound), whatever the size of the benchmark; documents are
-never joined with each other, and no pair of texts is formed.
+about ``BLOCK`` rows and ``BLOCK_BYTES`` bytes, measured before the blocks are cut (the
+proven bound), whatever the size of the benchmark and of its words; documents are never
+joined with each other, and no pair of texts is formed.  A benchmark of one block costs
+two passes over the documents, one for the rarity of its words and one for the hits.
 
 Edge cases: null and empty texts have no words and no hits; items with a null id are
 skipped; repeated items count once; repeated documents get a row each; other columns
@@ -27,8 +29,8 @@ from .common import Scratch
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
-#: Windows broadcast at once (about 200 bytes each).
-BLOCK = 100_000
+#: Windows broadcast at once, and the bytes of their words.
+BLOCK, BLOCK_BYTES = 100_000, 1 << 25
 
 
 def words_of(text: Column) -> Column:
@@ -48,7 +50,8 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, width: int = WIDTH
     """(k1, k2, n_hit, n_items, items_sha256) of the documents that any window hits."""
     owned = scratch.write(windows(items, width).withColumn("wid", F.xxhash64("window")), "owned")
     distinct = owned.select("wid", "window").distinct()
-    blocks = max(1, -(-distinct.count() // block))
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("window", " "))), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-size["bytes"] // BLOCK_BYTES))
     seen = docs.select("k1", "k2", words_of(F.col("text")).alias("words"))
     found = None
     for i in range(blocks):
