@@ -143,6 +143,12 @@ def previous(events: DataFrame, by: list[str], order: list[str], value: str = "i
     return events.withColumn("previous", F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def versions(events: DataFrame, by: list[str], order: list[str], value: str = "id") -> DataFrame:
+    """Adds ``version`` (from 1) of each object key and ``derived_from``, the value of the version before."""
+    window = Window.partitionBy(*by).orderBy(*order)
+    return events.withColumns({"version": F.row_number().over(window), "derived_from": F.lag(value).over(window)})
+
+
 def innermost(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(id, parent): the enclosing interval of the same ``grp`` with the latest start; intervals are (grp, id, enter, leave)."""
     o = outer.select("grp", F.col("id").alias("parent"), F.col("enter").alias("oe"), F.col("leave").alias("ol"))

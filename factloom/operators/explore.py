@@ -15,6 +15,17 @@ def visible_in_run(nodes: DataFrame, run_id: str | None) -> DataFrame:
     return nodes if run_id is None else nodes.where(F.col("run_id").isNull() | (F.col("run_id") == run_id))
 
 
+def run_values(nodes: DataFrame, run_id: str) -> DataFrame:
+    """(id, kind) of the values that go into a run and come out of it."""
+    return nodes.where((F.col("identity_kind") == "value") & F.col("kind").isin("input", "output") & (F.col("run_id") == run_id)).select("id", "kind")
+
+
+def definitions_in_run(nodes: DataFrame, run_id: str) -> DataFrame:
+    """(definition_id, label) of the definitions that occur in a run."""
+    seen = nodes.where((F.col("identity_kind") == "occurrence") & (F.col("run_id") == run_id)).select("definition_id").distinct()
+    return seen.join(nodes.select(F.col("id").alias("definition_id"), "label"), "definition_id").select("definition_id", "label")
+
+
 def search_text(nodes: DataFrame) -> DataFrame:
     """Adds ``haystack``: id, label, kind, role, paths, symbols, tensor texts and shape, keys and values of scalar attributes, lowered."""
     scalars = F.transform(F.filter(tx.attribute_parts(F.col("attributes_json")), lambda a: a["kind"] == "scalar"), lambda a: F.concat_ws(" ", a["key"], a["text"]))

@@ -56,6 +56,14 @@ def graph_metrics(graph: EvidenceGraph) -> DataFrame:
     return both.select("*", F.round(tx.ratio(F.col("n_tensors"), F.col("n_values")), 6).alias("tensor_coverage"), F.round(tx.ratio(F.col("n_occurrences"), F.col("n_definitions")), 6).alias("calls_per_definition"))
 
 
+def project_stats(graph: EvidenceGraph) -> DataFrame:
+    """(what, n): nodes, edges other than containment, runs and groups of a project."""
+    size = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    nodes = graph.nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("level") == "semantic").alias("groups"))
+    both = nodes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("nodes", "groups")])).alias("s")).select("s.what", "s.n")
+    return both.unionByName(size("edges", graph.edges.where("kind <> 'contains'"))).unionByName(size("runs", graph.runs))
+
+
 def entrypoint_scores(reasons: DataFrame) -> DataFrame:
     """(path, score, reasons) of rows (path, points, reason), best first."""
     return reasons.groupBy("path").agg(F.sum("points").alias("score"), F.array_join(F.sort_array(F.collect_list("reason")), "; ").alias("reasons")).orderBy(F.desc("score"), "path")
@@ -71,7 +79,7 @@ def clip_budget(docs: DataFrame, order: list, limit: int, each: int, budget: int
 
 
 def markdown(rows: DataFrame, title: str, columns: list[str]) -> str:
-    """A small ordered table as Markdown (report rendering; at most 1,000 rows)."""
+    """A small ordered table as Markdown, whole (report rendering: the caller has cut it to what a page holds)."""
     lines = [f"## {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in rows.select(*columns).limit(1000).collect()]
+    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in rows.select(*columns).collect()]
     return "\n".join(lines)

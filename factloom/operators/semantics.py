@@ -58,6 +58,16 @@ def modality_seeds(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.explode(F.array_compact(F.array(*rows))).alias("label"))
 
 
+def node_modalities(graph: EvidenceGraph) -> DataFrame:
+    """(id, modalities): what reaches each mechanical node along the flow, own names included; nodes without any give no row."""
+    stages = Stages(graph.nodes.sparkSession, "modalities")
+    mechanical = graph.mechanical()
+    ends = mechanical.select("id")
+    flow = graph.flow(PROPAGATION_KINDS).join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    labels = traverse.label_fixpoint(flow.select("src", "dst"), stages.write(modality_seeds(node_text(mechanical))))
+    return labels.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("modalities"))
+
+
 def hypotheses(graph: EvidenceGraph) -> DataFrame:
     """(id, role, priority, confidence, reasons, rank): all hypotheses of each mechanical node, best first."""
     stages = Stages(graph.nodes.sparkSession, "hypotheses")

@@ -82,8 +82,7 @@ def visible_in_run(spark, sf):
 @query("""WITH_GRAPH SELECT id, kind FROM node WHERE identity_kind = 'value' AND kind IN ('input', 'output') AND run = 'run.1997'""")
 def runtime_inputs_outputs(spark, sf):
     """Input and output values of one run."""
-    nodes = bind(spark, sf).nodes
-    return nodes.where("identity_kind = 'value' and kind in ('input', 'output') and run_id = 'run.1997'").select("id", "kind")
+    return explore.run_values(bind(spark, sf).nodes, "run.1997")
 
 
 @query("""SELECT e AS evidence_id, count(*) AS n_nodes FROM (
@@ -120,9 +119,7 @@ def occurrences_of_definition(spark, sf):
 @query("""WITH_GRAPH SELECT DISTINCT 'part:' || pk AS definition_id, p_name AS label FROM call JOIN part ON p_partkey = pk WHERE run = 'run.1996'""")
 def definitions_producing_in_run(spark, sf):
     """Definitions that occur in one run."""
-    g = bind(spark, sf)
-    seen = g.nodes.where("identity_kind = 'occurrence' and run_id = 'run.1996'").select("definition_id").distinct()
-    return seen.join(g.nodes.select(F.col("id").alias("definition_id"), "label"), "definition_id").select("definition_id", "label")
+    return explore.definitions_in_run(bind(spark, sf).nodes, "run.1996")
 
 
 @query("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
@@ -146,11 +143,7 @@ def enclosing_call(spark, sf):
 @query("""SELECT event_id, CAST(row_number() OVER w AS INT) AS version, lag(event_id) OVER w AS derived_from FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def value_versions(spark, sf):
     """Versions of one object key and what each is derived from."""
-    from pyspark.sql.window import Window
-
-    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
-    rows = align.previous(read(spark, sf, "events"), keys, order, "event_id")
-    return rows.select("event_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("version"), F.col("previous").alias("derived_from"))
+    return align.versions(read(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], "event_id").select("event_id", "version", "derived_from")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS producer FROM events""")
@@ -385,6 +378,4 @@ def graph_metrics(spark, sf):
 SELECT 'nodes' AS what, count(*) AS n FROM node UNION ALL SELECT 'edges', count(*) FROM m UNION ALL SELECT 'runs', count(DISTINCT run) FROM node WHERE run IS NOT NULL UNION ALL SELECT 'groups', count(*) FROM region""")
 def project_stats(spark, sf):
     """Sizes of a project."""
-    g = bind(spark, sf)
-    size = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return size("nodes", g.nodes).unionByName(size("edges", g.edges.where("kind <> 'contains'"))).unionByName(size("runs", g.runs)).unionByName(size("groups", g.nodes.where("level = 'semantic'")))
+    return metrics.project_stats(bind(spark, sf))

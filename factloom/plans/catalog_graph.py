@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, browser, flows, metrics
+from ..operators import benchmark, browser, flows, metrics, semantics
 from ..schema import EvidenceGraph
 from ..sources import manifests, repository
 from ..sources.tables import bind, calls, read
@@ -135,6 +135,17 @@ def claim_counts(spark, sf):
     return browser.claim_counts(g.with_tables(claims=g.claims.unionByName(claims, allowMissingColumns=True), conflicts=g.conflicts.unionByName(conflicts, allowMissingColumns=True)))
 
 
+@query("""WITH_GRAPH, l(id, m) AS (SELECT 'customer:' || c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'vision' WHEN 1 THEN 'audio' ELSE 'reward' END FROM customer UNION SELECT target, m FROM l JOIN edge ON source = l.id AND kind IN ('data', 'consumes', 'produces')),
+g AS (SELECT id, string_agg(m, ',' ORDER BY m) AS modalities FROM l GROUP BY id) SELECT split_part(id, ':', 1) AS family, modalities, count(*) AS n FROM g GROUP BY ALL""")
+def node_modalities(spark, sf):
+    """Modalities that reach orders, calls and suppliers from customers named for one."""
+    g = bind(spark, sf)
+    key = F.substring_index("id", ":", -1).cast("long")
+    named = F.when(F.startswith("id", F.lit("customer:")), F.get(F.array(F.lit("camera"), F.lit("speech"), F.lit("reward")), (key % 3).cast("int"))).otherwise("plain")
+    found = semantics.node_modalities(g.with_tables(nodes=g.nodes.withColumns({"label": named, "role": F.lit(None).cast("string"), "attributes_json": F.lit(None).cast("string")})))
+    return found.groupBy(F.substring_index("id", ":", 1).alias("family"), F.array_join("modalities", ",").alias("modalities")).agg(F.count("*").alias("n"))
+
+
 # -- metrics -------------------------------------------------------------------------
 
 _SIZES = """(SELECT count(*) FROM node) AS runtime_nodes, (SELECT count(*) FROM node WHERE identity_kind = 'definition') AS definitions, (SELECT count(*) FROM node WHERE identity_kind = 'occurrence') AS occurrences,
