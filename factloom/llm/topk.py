@@ -203,14 +203,14 @@ def top_k(data: DataFrame, is_query, k: int = 5, query_rows: int = QUERY_ROWS, d
     placed = scratch.write(ints.mapInArrow(_assign(pivots), "vec_id long, v array<double>, is_query boolean, cell int, away double"), "placed")
     # one row a cell
     found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r"), F.count_if("is_query").alias("q"), F.max(F.when(F.col("is_query"), F.col("away"))).alias("qr")).collect()
-    blocks, groups = {r["cell"]: -(-r["n"] // data_rows) for r in found}, {r["cell"]: -(-r["q"] // query_rows) for r in found if r["q"]}
+    blocks, counts = {r["cell"]: -(-r["n"] // data_rows) for r in found}, {r["cell"]: r["q"] for r in found if r["q"]}
     data_radius, query_radius = np.full(len(pivots), -1.0), np.full(len(pivots), -1.0)
     for r in found:
         data_radius[r["cell"]] = r["r"]
         if r["q"]:
             query_radius[r["cell"]] = r["qr"]
     top = _bounds(pivots, query_radius, data_radius)
-    first = {c: int(top[c].argmax()) for c in groups}
+    first = {c: int(top[c].argmax()) for c in counts}
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -223,32 +223,43 @@ def top_k(data: DataFrame, is_query, k: int = 5, query_rows: int = QUERY_ROWS, d
         there = best.ids != np.iinfo(np.int64).max
         return pa.table([pa.array(np.repeat(q_ids, k)[there.ravel()]), pa.array(best.ids[there]), pa.array([int(s) for s in best.scores[there]], pa.int64())], names=names)
 
-    # blocks of a cell and groups of its queries, dealt by hashes of the id and the vector
-    count = lambda sizes: F.coalesce(F.get(F.lit([sizes.get(c, 1) for c in range(len(pivots))]), F.col("cell")), F.lit(1))
-    one = placed.select("vec_id", "v", F.col("cell").alias("to"), F.pmod(F.xxhash64("vec_id", "v"), count(blocks)).cast("int").alias("block"))
-    two = placed.where("is_query").select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), count(groups)).cast("int").alias("group"))
-
-    def met(queries: DataFrame, pairs: list[tuple[int, int, int, int]]) -> DataFrame:
-        """Results of the pairs (query cell, group, data cell, block); only rows that some pair needs are sent."""
-        plan = scratch.write(spark.createDataFrame(pairs, "cell int, group int, to int, block int"), "plan")
-        left = queries.join(plan, ["cell", "group"]).select("cell", "group", "to", "block", "vec_id", "v", "least")
+    block_of = F.pmod(F.xxhash64("vec_id", "v"), F.coalesce(F.get(F.lit([blocks.get(c, 1) for c in range(len(pivots))]), F.col("cell")), F.lit(1))).cast("int")
+    one = placed.select("vec_id", "v", F.col("cell").alias("to"), block_of.alias("block"))
+    two = placed.where("is_query").select("vec_id", "v", "cell")
+
+    def met(left: DataFrame, pairs: list[tuple[int, int, int, int]]) -> DataFrame:
+        """Results of the pairs (query cell, data cell, first block, end block).
+
+        All queries that meet a data cell are dealt anew into groups of ``query_rows``, so a
+        data row is sent once a group, not once a query cell; only rows that some pair needs
+        are sent.
+        """
+        asked: dict[int, int] = {}
+        needed: dict[int, tuple[int, int]] = {}
+        for c, d, lo, hi in pairs:
+            asked[d] = asked.get(d, 0) + counts[c]
+            low, high = needed.get(d, (lo, hi))
+            needed[d] = min(low, lo), max(high, hi)
+        groups = {d: -(-n // query_rows) for d, n in asked.items()}
+        sent = spark.createDataFrame([(c, d, groups[d], lo, hi) for c, d, lo, hi in pairs], "cell int, to int, groups int, lo int, hi int")
+        kept = spark.createDataFrame([(d, groups[d], *needed[d]) for d in groups], "to int, groups int, lo int, hi int")
+        group = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.col("groups")).cast("int").alias("group")
+        queries = left.join(sent, "cell").select("to", group, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("block"), "vec_id", "v", "least")
+        rows = one.join(kept, "to").where("block >= lo and block < hi").select("to", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "block", "vec_id", "v")
         # new names: both sides come from one table
-        right = one.join(plan, ["to", "block"]).select(*[F.col(c).alias(c) for c in ("cell", "group", "to", "block", "vec_id", "v")])
-        by = ("cell", "group", "to", "block")
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
+        rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+        by = ("to", "block", "group")
+        return queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
 
-    # first one block for each group of queries
-    start = met(two.withColumn("least", F.lit(float("-inf"))), [(c, g, first[c], 0) for c in groups for g in range(groups[c])])
+    # first one block for each cell of queries
+    start = met(two.withColumn("least", F.lit(float("-inf"))), [(c, first[c], 0, 1) for c in counts]) if counts else spark.createDataFrame([], "query_id long, vec_id long, score long")
     seeds = scratch.write(start, "seeds")
     least = seeds.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").cast("double").alias("s"))
     seeded = two.join(least, "vec_id", "left").withColumn("least", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(float("-inf")))).drop("n", "s")
     seeded = scratch.write(seeded, "seeded")
     floor_ = {r["cell"]: r["s"] for r in seeded.groupBy("cell").agg(F.min("least").alias("s")).collect()}
-    rest = [
-        (c, g, int(d), b)
-        for c in groups for d in np.flatnonzero((top[c] >= floor_.get(c, -np.inf)) & (top[c] > -np.inf)) for b in range(blocks[int(d)]) if (int(d), b) != (first[c], 0)
-        for g in range(groups[c])
-    ]
+    rest = [(c, int(d), int(d == first[c]), blocks[int(d)]) for c in counts for d in np.flatnonzero((top[c] >= floor_.get(c, -np.inf)) & (top[c] > -np.inf))]
+    rest = [x for x in rest if x[2] < x[3]]
     every = seeds.unionByName(met(seeded, rest)) if rest else seeds
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
