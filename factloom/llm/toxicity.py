@@ -348,8 +348,9 @@ def sample(docs: DataFrame, labels: DataFrame, training: Column, rows: int = FIT
     for r in marked.withColumn("h", h).where(F.col("h") < cut).distinct().collect():
         found[r["toxic"]].append((r["h"], r["doc_id"]))
     label = {i: t for t in (0, 1) for _, i in sorted(found[t])[: rows if t else clean]}
+    # at most ``rows`` + ``clean`` ids: the bound of the sample
     wanted = docs.sparkSession.createDataFrame([(i,) for i in label], docs.select("doc_id").schema)
-    kept = docs.where(F.length("text").between(1, max_chars)).select("doc_id", "text").join(wanted, "doc_id", "left_semi").distinct().collect()
+    kept = docs.where(F.length("text").between(1, max_chars)).select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi").distinct().collect()
     kept = sorted((r["doc_id"], r["text"]) for r in kept)
     return [t for _, t in kept], [label[i] for i, _ in kept]
 
