@@ -164,10 +164,12 @@ def sample(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE,
     cuts = spark.createDataFrame([(lang, int(2**62 * min(1.0, (2 * per_language + 50) / n))) for lang, n in counts], "lang string, cut long")
     h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))
     by_language: dict[str, list] = {}
-    for row in usable.select("doc_id", "lang", h.alias("h")).join(cuts, "lang").where("h < cut").select("lang", "h", "doc_id").collect():
+    for row in usable.select("doc_id", "lang", h.alias("h")).join(F.broadcast(cuts), "lang").where("h < cut").select("lang", "h", "doc_id").collect():
         by_language.setdefault(row["lang"], []).append((row["h"], row["doc_id"]))
     picked = sorted({i for rows in by_language.values() for _, i in sorted(rows)[:per_language]})
-    rows = usable.join(spark.createDataFrame([(i,) for i in picked], usable.select("doc_id").schema), "doc_id", "left_semi").select("doc_id", "lang", "text").collect()
+    # at most ``fit_texts`` ids (or one a language): the bound of the sample
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in picked], usable.select("doc_id").schema))
+    rows = usable.join(wanted, "doc_id", "left_semi").select("doc_id", "lang", "text").collect()
     seen: Counter = Counter()
     texts, languages = [], []
     for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
